@@ -20,6 +20,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,9 @@ SPLIT = rf" ?\p{{L}}+| ?\p{{N}}+|'s|'t|'re|'ve|'m|'ll|'d| ?[^{WHITE}\p{{L}}\p{{N
 #: White space, in the widest sense, and a space after it.
 AFTER_WHITE = re.compile(r"\s ")
 #: Encoded words that a Python worker keeps between rows and tasks.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
+#: Remembered seams and matcher steps of a Python worker.
+CACHE_SEAMS, CACHE_STEPS = 250_000, 450_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -48,19 +51,22 @@ def byte_alphabet() -> dict[str, int]:
 class Vocabulary:
     """Tokens, merges and special strings of a byte-level BPE file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, encoder: bool = True):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_alphabet()
         raw = lambda s: bytes(letters[c] for c in s)
-        self.ids = {raw(s): i for s, i in spec["model"]["vocab"].items()}
+        ids = {raw(s): i for s, i in spec["model"]["vocab"].items()}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        size = max(*self.ids.values(), *self.special.values()) + 1
+        size = max(*ids.values(), *self.special.values()) + 1
         self.bytes = [b""] * size
-        for b, i in self.ids.items():
+        for b, i in ids.items():
             self.bytes[i] = b
         for s, i in self.special.items():
             self.bytes[i] = s.encode()
+        if not encoder:
+            return
+        self.ids = ids
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         self.order = [0] * size  # when a token appears: 0 for bytes, then by merge
@@ -102,7 +108,7 @@ class Vocabulary:
                     before, a = x, parts[a][1]
                 else:  # at an equal step the seam, further left, would have merged first
                     before, b = y + 1, parts[b][0]
-            if len(self.paired) > 1_000_000:
+            if len(self.paired) >= CACHE_SEAMS:
                 self.paired.clear()
             self.paired[key] = known
         return known
@@ -158,8 +164,8 @@ class Vocabulary:
                     after = step.get(state << 8 | b)
                     if after is None and not state:
                         raise ValueError("the vocabulary does not cover all bytes")
-                if after and key not in step:
-                    step[key] = after  # at most 256 a state
+                if len(step) < CACHE_STEPS:
+                    step[key] = after
                 state = after
                 for token, length in ends[state]:
                     start = end - length
@@ -233,14 +239,10 @@ class Vocabulary:
         return b"".join(map(table.__getitem__, got.tolist())).decode("utf-8", "replace")
 
 
-_loaded: dict[str, Vocabulary] = {}
-
-
-def vocabulary(path: str) -> Vocabulary:
-    """One vocabulary a Python worker and path."""
-    if path not in _loaded:
-        _loaded[path] = Vocabulary(path)
-    return _loaded[path]
+@lru_cache(maxsize=2)
+def vocabulary(path: str, encoder: bool = True) -> Vocabulary:
+    """One vocabulary a Python worker and path; without `encoder` only what decoding needs."""
+    return Vocabulary(path, encoder)
 
 
 def _kept(df: DataFrame, keep: Sequence[str], made: Sequence[str]) -> list[T.StructField]:
@@ -276,7 +278,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", keep: Sequence[str]
     source = encoded.select(*(encoded[c] for c in names), encoded[ids].alias("__ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path)
+        v = vocabulary(path, encoder=False)
         for whole in batches:
             for batch in slices(whole, "__ids"):
                 out = [v.decode(b or b"") for b in as_binary(batch.column("__ids")).to_pylist()]

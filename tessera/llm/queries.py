@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, pii, urls, webp
+from tessera.llm import bpe, decontaminate, langid, pii, quality, simjoin, urls, webp
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,25 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out())
+    prototypes = langid.learn(docs.where("not held_out"))
+    return langid.predict(docs, prototypes, keep=("doc_id", "held_out"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, quality.train(docs))
+
+
+def op7_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simjoin.components(table(spark, sf_dir, "documents").select("doc_id", "text"), n=3, p=90, q=100)
+
+
 def op8_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = webp.to_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return webp.read_media(media)
@@ -49,7 +68,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decontaminate": op3_decontaminate,
     "op4_bpe": op4_bpe,
+    "op5_langid": op5_langid,
+    "op6_quality": op6_quality,
+    "op7_partenum": op7_partenum,
     "op8_webp": op8_webp,
     "op9_urls": op9_urls,
     "op10_pii": op10_pii,

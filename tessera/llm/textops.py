@@ -88,15 +88,15 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[low:high], offsets - low
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of whole rows of about `limit` bytes of text."""
+def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of whole rows of about `limit` bytes of text, `rows` rows at most."""
     if not batch.num_rows:
         return
     _, offsets = buffers(batch.column(column))
     start = 0
     while start < batch.num_rows:
         end = int(np.searchsorted(offsets, offsets[start] + limit, side="right")) - 1
-        end = min(max(end, start + 1), batch.num_rows)
+        end = min(max(end, start + 1), start + rows, batch.num_rows)
         yield batch.slice(start, end - start)
         start = end
 

@@ -137,6 +137,21 @@ class Benchmark:
                     best[i] = (float(ratio[top]), int(starts_of[top]) + low, length)
         return [(i, *b) for i, b in sorted(best.items())]
 
+    def rows(self, column: pa.Array, similarity: float) -> list[tuple[int, int, float, int, int]]:
+        """(row, item, similarity, first word, words) of all matches of a text column."""
+        raw, offsets = buffers(column)
+        words = Words(raw, offsets)
+        h, at = words.shingles(self.n)
+        row = words.row[at]
+        some = set(row[self.hits(h)].tolist())
+        some.update(np.flatnonzero((words.count > 0) & (words.count < self.n)).tolist())
+        found = []
+        for r in sorted(some):
+            count = int(words.count[r])
+            own = h[np.searchsorted(row, r) : np.searchsorted(row, r + 1)] if count >= self.n else np.array([whole_hash(words, r)], dtype=U64)
+            found += [(r, *m) for m in self.match(own, count, similarity)]
+        return found
+
 
 def _blocks(benchmark: DataFrame, key: str, text: str, limit: int) -> Iterator[list[tuple[object, str]]]:
     """The items in blocks of about `limit` bytes."""
@@ -161,17 +176,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: Seq
             bench = Benchmark(items, n, radius)
             for whole in batches:
                 for batch in slices(whole, "__text"):
-                    raw, offsets = buffers(batch.column("__text"))
-                    words = Words(raw, offsets)
-                    h, at = words.shingles(n)
-                    row = words.row[at]
-                    rows = set(row[bench.hits(h)].tolist())
-                    rows.update(np.flatnonzero((words.count > 0) & (words.count < n)).tolist())
-                    found = []
-                    for r in sorted(rows):
-                        count = int(words.count[r])
-                        own = h[np.searchsorted(row, r) : np.searchsorted(row, r + 1)] if count >= n else np.array([whole_hash(words, r)], dtype=U64)
-                        found += [(r, *m) for m in bench.match(own, count, similarity)]
+                    found = bench.rows(batch.column("__text"), similarity)
                     if found:
                         taken = batch.take(pa.array([f[0] for f in found], pa.int64()))
                         ids = pa.array([bench.ids[f[1]] for f in found])
@@ -182,3 +187,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: Seq
 
     parts = [against(items) for items in _blocks(benchmark, item, item_text, block_bytes)]
     return reduce(DataFrame.unionAll, parts) if parts else source.sparkSession.createDataFrame([], schema)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", n: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents that match no item, all columns kept, in one pass for each block of items."""
+
+    def without(rows: DataFrame, items: list[tuple[object, str]]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bench = Benchmark(items, n, radius)
+            for whole in batches:
+                for batch in slices(whole, text):
+                    hit = {r for r, *_ in bench.rows(batch.column(text), similarity)}
+                    yield batch.take(pa.array([i for i in range(batch.num_rows) if i not in hit], pa.int64()))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    return reduce(without, _blocks(benchmark, item, item_text, block_bytes), docs)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, langid, pii, quality, simjoin, suffix, urls, webp
+from tessera.llm import bpe, decontaminate, langid, linededup, pii, quality, simjoin, suffix, urls, webp
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix.repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(
@@ -78,7 +84,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lines": op1_lines,
     "op2_suffix": op2_suffix,
     "op3_decontaminate": op3_decontaminate,
     "op4_bpe": op4_bpe,
@@ -88,5 +99,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_webp": op8_webp,
     "op9_urls": op9_urls,
     "op10_pii": op10_pii,
+    "pipeline": pipeline,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_lines": linededup.ORACLE_SQL}

@@ -119,7 +119,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
     names = [f.name for f in fields]
     schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     langs = sorted(prototypes)
-    matrix = np.array([prototypes[x] for x in langs], dtype=np.float32).reshape(len(langs), -1)
+    matrix = np.array([prototypes[x] for x in langs], dtype=np.float32) if langs else np.zeros((0, DIMENSIONS), np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, langid, linededup, pii, quality, simjoin, suffix, urls, webp
+from tessera.llm import bpe, decontaminate, langid, linededup, oracles, pii, quality, simjoin, suffix, urls, webp
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,4 +101,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
     "pipeline": pipeline,
 }
-ORACLE_SQL: dict[str, str] = {"op1_lines": linededup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL

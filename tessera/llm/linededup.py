@@ -25,6 +25,8 @@ from tessera.session import ensure_checkpoint_dir
 
 MIN_DOCS, MIN_TOKENS, LEADING, CONSTANT_SHARE = 3, 5, 3, 0.6
 FIELD = "<*>"
+#: Most leaves, or documents with dropped lines, that a join broadcasts; with more the texts are shuffled.
+BROADCAST_ROWS = 500_000
 
 
 def masked(line: Column) -> Column:
@@ -41,23 +43,30 @@ def lines(docs: DataFrame, key: str, text: str, min_tokens: int, leading: int) -
     return rows.select("doc", "pos", F.xxhash64("n", F.substring_index("line", " ", leading)).alias("leaf"), "line")
 
 
+def small(df: DataFrame) -> DataFrame:
+    """The rows computed once, and broadcast if they are few; else left to a shuffled join."""
+    held = df.checkpoint()
+    return F.broadcast(held) if held.count() <= BROADCAST_ROWS else held
+
+
 def recurring(docs: DataFrame, text: str = "text", key: str = "doc_id", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, leading: int = LEADING, constant_share: float = CONSTANT_SHARE) -> DataFrame:
-    """doc and pos of each line to drop, with its template."""
+    """doc and pos of each line to drop, with the hash of its template."""
     every = lines(docs, key, text, min_tokens, leading)
     leaves = every.groupBy("leaf").agg(F.min(F.xxhash64("doc")).alias("d0"), F.max(F.xxhash64("doc")).alias("d1"), F.count("*").alias("c"))
     leaves = leaves.where((F.col("d0") != F.col("d1")) & (F.col("c") >= min_docs)).select("leaf")
-    some = every.join(leaves, "leaf").checkpoint()
-    # distinct masked lines, each with its number of documents
-    kinds = some.select("leaf", "line", F.xxhash64("doc").alias("d")).distinct().groupBy("leaf", "line").agg(F.count("*").alias("docs"))
-    parts = kinds.select("leaf", "line", "docs", F.posexplode(F.split("line", " ")).alias("at", "token"))
+    some = every.join(small(leaves), "leaf").withColumn("kind", F.xxhash64("line")).checkpoint()
+    # distinct masked lines, each with its number of documents; their tokens move without the line
+    kinds = some.select("leaf", "kind", F.xxhash64("doc").alias("d")).distinct().groupBy("leaf", "kind").agg(F.count("*").alias("docs"))
+    texts = some.groupBy("leaf", "kind").agg(F.min("line").alias("line"))
+    parts = kinds.join(texts, ["leaf", "kind"]).select("leaf", "kind", "docs", F.posexplode(F.split("line", " ")).alias("at", "token"))
     constant = parts.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("s")).where((F.col("s") >= min_docs) & (F.col("token") != FIELD)).select("leaf", "at", "token", F.lit(1).alias("constant"))
-    made = parts.join(constant, ["leaf", "at", "token"], "left").groupBy("leaf", "line").agg(
+    made = parts.join(constant, ["leaf", "at", "token"], "left").groupBy("leaf", "kind").agg(
         F.array_sort(F.collect_list(F.struct("at", F.when(F.col("constant") == 1, F.col("token")).otherwise(F.lit(FIELD)).alias("t")))).alias("ts"),
         F.count("constant").alias("constants"),
         F.count("*").alias("n"),
     )
-    made = made.where(F.col("constants") >= constant_share * F.col("n")).select("leaf", "line", F.array_join(F.col("ts.t"), " ").alias("template"))
-    placed = some.join(made, ["leaf", "line"]).select("doc", "pos", "template")
+    made = made.where(F.col("constants") >= constant_share * F.col("n")).select("leaf", "kind", F.xxhash64(F.array_join(F.col("ts.t"), " ")).alias("template"))
+    placed = some.select("leaf", "kind", "doc", "pos").join(made, ["leaf", "kind"]).select("doc", "pos", "template")
     seen = placed.groupBy("template").agg(F.min(F.struct("doc", "pos")).alias("first"))
     wide = placed.select("template", F.xxhash64("doc").alias("d")).distinct().groupBy("template").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
     return placed.join(seen.join(wide, "template"), "template").where(~F.struct("doc", "pos").eqNullSafe(F.col("first"))).select("doc", "pos", "template")
@@ -66,9 +75,9 @@ def recurring(docs: DataFrame, text: str = "text", key: str = "doc_id", min_docs
 def drop_recurring(docs: DataFrame, text: str = "text", key: str = "doc_id", **limits) -> DataFrame:
     """The documents with recurring lines dropped from the text, and n_lines and n_dropped."""
     ensure_checkpoint_dir(docs.sparkSession)
-    drops = recurring(docs, text, key, **limits).groupBy(F.xxhash64("doc").alias("__d"), F.col("doc").alias("__k")).agg(F.collect_set("pos").alias("__pos"))
+    drops = recurring(docs, text, key, **limits).groupBy(F.xxhash64("doc").alias("__d")).agg(F.collect_set("pos").alias("__pos"))
     rows = docs.drop("n_lines", "n_dropped").withColumn("__d", F.xxhash64(F.col(key)))
-    joined = rows.alias("r").join(drops.select("__d", "__pos"), "__d", "left")
+    joined = rows.join(small(drops), "__d", "left")
     parts = F.split(F.col(text), "\n")
     n = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(parts))
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__pos"))

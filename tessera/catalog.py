@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import ids, text, vectors
@@ -249,6 +249,19 @@ def csr_edges(spark, sf_dir):
     return graph.csr_edges(_remapped(spark, sf_dir))
 
 
+@query(f"WITH {R}, p AS (SELECT src >> 30 AS part, count(*) AS edges, bit_xor(dst) AS xor_dst FROM r GROUP BY 1) SELECT part, edges, xor_dst, edges AS last_end, 0 AS inversions FROM p")
+def graph_preprocess(spark, sf_dir):
+    """Remap, repartition, local sort and index: per partition its edges, the index's last end and edges out of order."""
+    edges, index = preprocess.prepare(_edges(spark, sf_dir)[0], PARTS, lambda c: ids.remap_chunk_round_robin(c, PARTS, CHUNK))
+    # the row number as it lies in the partition against the number in sorted order
+    w = Window.partitionBy("part").orderBy("src", "dst")
+    placed = edges.withColumn("lies", F.monotonically_increasing_id())
+    step = placed.withColumn("before", F.lag("lies").over(w.orderBy("src", "dst", "lies")))
+    facts = step.groupBy("part").agg(F.count("*").alias("edges"), F.bit_xor("dst").alias("xor_dst"), F.count_if(F.col("before") > F.col("lies")).alias("inversions"))
+    ends = index.groupBy("part").agg(F.max("end").cast("long").alias("last_end"))
+    return facts.join(ends, "part").select("part", "edges", "xor_dst", "last_end", F.col("inversions").cast("int").alias("inversions"))
+
+
 @query(f"WITH {E} SELECT src AS v, count(*) AS degree FROM e GROUP BY src")
 def out_degree(spark, sf_dir):
     return graph.out_degree(_edges(spark, sf_dir)[0])
@@ -439,6 +452,12 @@ def lcg_doubles(spark, sf_dir):
 WORD_LIST = "[" + ", ".join(f"'{w}'" for w in generators.DICTIONARY) + "]"
 
 
+@query("SELECT word, count(*) AS n FROM (SELECT unnest(string_split_regex(trim(p_name), '\\s+')) AS word FROM part) WHERE word <> '' GROUP BY word")
+def dictionary_load(spark, sf_dir):
+    lines = table(spark, sf_dir, "part").select(F.col("p_name").alias("value"))
+    return generators.dictionary(lines).groupBy("word").agg(F.count("*").alias("n"))
+
+
 @query(f"SELECT k AS id, {WORD_LIST}[CAST(((((k + 1) * 2654435761 + 7 * 40503) % 4294967296) >> 8) % {len(generators.DICTIONARY)} AS INTEGER) + 1] AS word FROM range(1000) t(k)")
 def random_words(spark, sf_dir):
     return spark.range(1000).select("id", generators.random_word(F.col("id"), 7).alias("word"))
@@ -503,6 +522,13 @@ def stateful_slots(spark, sf_dir):
     return jobs.stateful_window_sums(spark, arrivals).select("wnid", r6("total"), "n")
 
 
+@query(f"WITH {EVENTS} SELECT wnid, event_type, round(sum(value), 6) AS total, count(*) AS n FROM e GROUP BY wnid, event_type")
+def windowed_combine_per_key(spark, sf_dir):
+    events = PCollection(table(spark, sf_dir, "events")).apply(FixedWindows.assign("ts", HOUR_US))
+    out = events.apply(WindowedCombine.per_key("event_type", F.sum("value").alias("total"), F.count("*").alias("n")))
+    return out.df.select("wnid", "event_type", r6("total"), "n")
+
+
 class _SplitRole(DoFn):
     schema = "conv_id long, word string"
 

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from tessera.llm.textops import U64, Words, buffers, mix64, slices
 
 #: Most rows that the linear scorer is fitted on, and its hashed features.
-TRAIN_ROWS, FEATURES = 8000, 4096
+TRAIN_ROWS, FEATURES = 6000, 2048
 
 CLASS = np.full(256, 3, dtype=np.uint8)  # 0 lower, 1 upper, 2 digit, 3 symbol, 4 beyond ASCII
 CLASS[97:123], CLASS[65:91], CLASS[48:58], CLASS[128:] = 0, 1, 2, 4
@@ -135,11 +135,11 @@ def fit_linear(x: np.ndarray, y: np.ndarray, steps: int = 150, l2: float = 1e-4)
     """Weights and intercept of a logistic scorer on soft labels (Nesterov steps, full batches)."""
     n, d = x.shape
     w, v = np.zeros(d + 1), np.zeros(d + 1)
-    rate = 4.0 / (1 + float((x**2).sum(axis=1).mean() if n else 0))
+    rate = 4.0 / (1 + float(np.einsum("ij,ij->", x, x) / n if n else 0))
     for t in range(steps if n else 0):
         ahead = w + t / (t + 3) * (w - v)
-        p = 1 / (1 + np.exp(-np.clip(x @ ahead[:-1] + ahead[-1], -30, 30)))
-        g = np.append(x.T @ (p - y) / n + l2 * ahead[:-1], (p - y).mean())
+        p = 1 / (1 + np.exp(-np.clip((x @ ahead[:-1].astype(x.dtype)).astype(float) + ahead[-1], -30, 30)))
+        g = np.append((x.T @ (p - y).astype(x.dtype)).astype(float) / n + l2 * ahead[:-1], (p - y).mean())
         v, w = w, ahead - rate * g
     return w
 
@@ -180,15 +180,15 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id", rows: int =
                 raw, _, words, m = _judge(batch)
                 x = shape_features(words, raw, batch.num_rows, m)
                 at = [np.flatnonzero(r) for r in x]
-                arrays = [pa.array(votes(m)), pa.array([a.tolist() for a in at], pa.list_(pa.int32())), pa.array([r[a].tolist() for r, a in zip(x, at, strict=True)], pa.list_(pa.float32()))]
+                arrays = [pa.array(votes(m)), pa.array([a.astype(np.int16).tobytes() for a in at], pa.binary()), pa.array([r[a].tobytes() for r, a in zip(x, at, strict=True)], pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, ["pattern", "at", "value"])
 
-    picked = source.where(F.col("__pick") <= last).select("__text").mapInArrow(sample, "pattern long, at array<int>, value array<float>").limit(rows).collect()
-    x = np.zeros((len(picked), FEATURES), dtype=np.float32)
-    y = np.zeros(len(picked))
-    for i, r in enumerate(sorted(picked, key=lambda r: (r["pattern"], r["at"], r["value"]))):
-        x[i, r["at"]] = r["value"]
-        y[i] = posterior[r["pattern"]]
+    picked = source.where(F.col("__pick") <= last).select("__text").mapInArrow(sample, "pattern long, at binary, value binary").limit(rows).toArrow()
+    x = np.zeros((picked.num_rows, FEATURES), dtype=np.float32)
+    y = np.zeros(picked.num_rows)
+    for i, (pattern, at, value) in enumerate(sorted(zip(*(picked.column(c).to_pylist() for c in picked.column_names), strict=True))):
+        x[i, np.frombuffer(at, np.int16)] = np.frombuffer(value, np.float32)
+        y[i] = posterior[pattern]
     return Scorer(posterior, rates, fit_linear(x, y))
 
 

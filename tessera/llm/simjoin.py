@@ -37,6 +37,10 @@ from tessera.llm.textops import U64, Words, buffers, mix64, slices, whole_hash
 from tessera.session import ensure_checkpoint_dir
 
 SUBPARTS = 3
+#: Below this threshold a projection holds few elements: bands are then wider (fewer groups), parts are
+#: a few more than needed, and empty projections can be left out.
+SELECTIVE = 0.85
+#: Least cells of a sketch.
 SKETCH_BITS = 1024
 #: Nodes of one signature that a task compares at once; more are compared block against block.
 BLOCK = 8192
@@ -65,19 +69,41 @@ def node_of(s: np.ndarray) -> int:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Parity of the number of elements in each of SKETCH_BITS cells."""
-    return np.packbits((np.bincount((mix64(s) >> U64(54)).astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
+    """Parity of the number of elements in each of its cells: a power of two, at least SKETCH_BITS and 4 an element."""
+    bits = max(SKETCH_BITS, 1 << (4 * len(s) - 1).bit_length())
+    cells = (mix64(s) & U64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(cells, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of words, the longer ones folded (halves xor-ed) to the shortest one's length."""
+    low = min(map(len, sketches))
+    out = np.empty((len(sketches), low // 8), dtype=U64)
+    for size in {len(x) for x in sketches}:
+        at = [i for i, x in enumerate(sketches) if len(x) == size]
+        rows = np.frombuffer(b"".join(sketches[i] for i in at), dtype=U64).reshape(len(at), size // low, low // 8)
+        out[at] = np.bitwise_xor.reduce(rows, axis=1)
+    return out
 
 
 class Bands:
-    """Size bands for a threshold of p / q, and the most differences of a band and of a pair of neighbours."""
+    """Size bands for a threshold of p / q, and the most differences of a band and of a pair of neighbours.
+
+    A band spans `width` times the ratio that two similar sets' sizes can have, so
+    a set has partners in its own and the neighbouring bands at most, and in a
+    neighbour only if its size lies within that ratio of it.
+    """
 
     def __init__(self, p: int, q: int):
         self.p, self.q, self.low, self.high = p, q, [1], []
+        self.loose = p < SELECTIVE * q
+        self.width = 2 if self.loose else 1
 
     def of(self, size: int) -> int:
         while not self.high or self.high[-1] < size:
-            top = self.low[-1] * self.q // self.p
+            top = self.low[-1]
+            for _ in range(self.width):
+                top = top * self.q // self.p
             self.high.append(top)
             self.low.append(top + 1)
         return int(np.searchsorted(self.high, size))
@@ -92,7 +118,11 @@ class Bands:
     def groups(self, size: int) -> list[tuple[int, int]]:
         """(group, k) that a set of this size takes part in: its band's, and those with both neighbours."""
         b = self.of(size)
-        pairs = [(b, b), (b, b + 1), *([(b - 1, b)] if b else [])]
+        pairs = [(b, b)]
+        if size * self.q // self.p > self.high[b]:
+            pairs.append((b, b + 1))
+        if b and self.high[b - 1] * self.q >= self.p * size:
+            pairs.append((b - 1, b))
         return [(lo * 2 + (hi > lo), k) for lo, hi in pairs if (k := self.differences(lo, hi)) > 0]
 
 
@@ -104,12 +134,14 @@ def bands(p: int, q: int) -> Bands:
 def signatures(sets: list[np.ndarray], p: int, q: int) -> list[np.ndarray]:
     """Each set's signatures, as signed 64-bit numbers; none for an empty set."""
     layout = bands(p, q)
-    owner, group, parts, copies = [], [], [], []
+    owner, group, parts, need, copies = [], [], [], [], []
     for i, s in enumerate(sets):
         for g, k in layout.groups(len(s)) if len(s) else ():
             owner.append(i)
             group.append(g)
-            parts.append((k + 2) // 2)
+            least = k // 2 + 1  # parts, for one of them to hold at most one difference
+            parts.append(least + (1 + least // 16 if layout.loose else 0))
+            need.append(least)
             copies.append(s)
     if not owner:
         return [np.zeros(0, np.int64) for _ in sets]
@@ -129,8 +161,14 @@ def signatures(sets: list[np.ndarray], p: int, q: int) -> list[np.ndarray]:
     salt = mix64(np.repeat(mix64(g + U64(9)), n1) + part)
     left_out = whole[:, None] - sums  # the projection without one sub-part
     out = mix64(mix64(left_out + U64(3)) ^ (salt[:, None] + np.arange(SUBPARTS, dtype=U64) * U64(0x9E3779B97F4A7C15))).view(np.int64)
+    # A part is thin if one sub-part holds all its elements.  A good part that is not thin gives an equal
+    # projection that is not empty; with more such parts than half of k, empty projections are not needed.
+    filled = np.bincount(cell, minlength=base[-1]).reshape(-1, SUBPARTS)
+    rest = filled.sum(axis=1)[:, None] - filled
+    thick = np.add.reduceat((rest.min(axis=1) > 0).astype(np.int64), base[:-1] // SUBPARTS)
+    keep = (rest > 0) | np.repeat(thick < np.array(need), n1)[:, None]
     first = np.concatenate(([0], np.cumsum(np.bincount(np.array(owner), weights=n1, minlength=len(sets)).astype(np.int64))))
-    return [out[first[i] : first[i + 1]].reshape(-1) for i in range(len(sets))]
+    return [out[first[i] : first[i + 1]][keep[first[i] : first[i + 1]]] for i in range(len(sets))]
 
 
 def _named(source: DataFrame, n: int) -> DataFrame:
@@ -187,8 +225,14 @@ def _distance(pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=U64).reshape(-1, SKETCH_BITS // 64) for c in ("sketch_a", "sketch_b"))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(np.bitwise_count(a ^ b).sum(axis=1).astype(np.int64))], [*names, "apart"])
+            left, right = batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist()
+            apart = np.zeros(batch.num_rows, dtype=np.int64)
+            low = np.array([min(len(x), len(y)) for x, y in zip(left, right, strict=True)], dtype=np.int64)
+            for size in np.unique(low):  # of one length at a time
+                at = np.flatnonzero(low == size).tolist()
+                both = folded([*(left[i] for i in at), *(right[i] for i in at)])
+                apart[at] = np.bitwise_count(both[: len(at)] ^ both[len(at) :]).sum(axis=1, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(apart)], [*names, "apart"])
 
     return pairs.mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "apart"]))
 
@@ -259,12 +303,13 @@ def _across(members: DataFrame, p: int, q: int, best: bool) -> DataFrame:
     def compare(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         t = pa.Table.from_batches(rows).combine_chunks()
         node, comp, size, own = (t.column(c).to_numpy() for c in ("node", "comp", "size", "own"))
-        bits = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=U64).reshape(len(node), -1)
+        bits = folded(t.column("sketch").to_pylist())
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         found = []
-        for at in range(0, len(left), 64):
-            a = left[at : at + 64]
+        step = max(1, (1 << 21) // max(1, len(right) * bits.shape[1]))
+        for at in range(0, len(left), step):
+            a = left[at : at + step]
             apart = np.bitwise_count(bits[a][:, None, :] ^ bits[right][None, :, :]).sum(axis=2, dtype=np.int64)
             # a link needs (q + p) * differences <= (q - p) * (both sizes)
             good = ((q + p) * apart <= (q - p) * (size[a][:, None] + size[right][None, :])) & (comp[a][:, None] != comp[right][None, :])

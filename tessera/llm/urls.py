@@ -97,7 +97,7 @@ def with_suffix(df: DataFrame, suffixes: DataFrame) -> DataFrame:
 
 def fit(labelled: DataFrame, suffixes: DataFrame, trees: int = 16, depth: int = 3) -> boost.Boosted:
     """Trees for rows with lexical features, suffix and label (1: block)."""
-    cells = with_suffix(labelled, suffixes).groupBy(*FEATURES).agg(F.sum("label").alias("pos"), F.count("*").alias("n")).limit(MAX_CELLS).collect()
+    cells = with_suffix(labelled, suffixes).groupBy(*FEATURES).agg(F.sum("label").alias("pos"), F.count("*").alias("n")).collect()
     x = np.array([[r[f] for f in FEATURES] for r in cells], dtype=np.int64).reshape(-1, len(FEATURES))
     pos, n = (np.array([r[k] for r in cells], dtype=float) for k in ("pos", "n"))
     if not len(cells) or not pos.sum():

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from tessera.llm.textops import U64, Rolling, as_binary, buffers, mix64, slices
 from tessera.session import ensure_checkpoint_dir
 
-LENGTH, ANCHOR = 200, 32
+LENGTH, ANCHOR = 200, 48
 #: Bytes of contexts sorted at once, and most of one anchor.
 BLOCK = 1 << 20
 PLACE_BITS = 24
@@ -161,19 +161,39 @@ def _contexts(source: DataFrame, length: int, k: int) -> DataFrame:
     return source.mapInArrow(run, "anchor long, context long, rid long, start long, count int")
 
 
+def _packed(source: DataFrame) -> DataFrame:
+    """The rows with the text compressed and its size, to be shuffled."""
+    others = [f for f in source.schema.fields if f.name != "__text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=1)
+        names = [f.name for f in others]
+        for whole in batches:
+            for batch in slices(whole, "__text"):
+                texts = as_binary(batch.column("__text")).to_pylist()
+                made = [pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *made], [*names, "__text", "__size"])
+
+    return source.mapInArrow(run, T.StructType([*others, T.StructField("__text", T.BinaryType()), T.StructField("__size", T.LongType())]))
+
+
+def _unpacked(batch: pa.RecordBatch) -> list[bytes]:
+    return [pa.decompress(b, n, codec="zstd", asbytes=True) if n else b"" for b, n in zip(as_binary(batch.column("__text")).to_pylist(), batch.column("__size").to_pylist(), strict=True)]
+
+
 def _cut(texts: DataFrame, length: int) -> DataFrame:
-    """The bytes of contexts: rows of a text and its list of wanted contexts."""
+    """The bytes of contexts: rows of a compressed text, its size and its list of wanted contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "__text", 1 << 19):
                 out: list[tuple] = []
-                for text, wanted in zip(as_binary(batch.column("__text")).to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-                    out += [(w["anchor"], w["context"], w["large"], text[w["start"] : w["start"] + w["count"] - 1 + length]) for w in wanted]
-                columns = list(zip(*out, strict=True)) or [[], [], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.bool_()), pa.array(columns[3], pa.binary())], ["anchor", "context", "large", "bytes"])
+                for text, wanted in zip(_unpacked(batch), batch.column("wanted").to_pylist(), strict=True):
+                    out += [(w["anchor"], w["context"], text[w["start"] : w["start"] + w["count"] - 1 + length]) for w in wanted]
+                columns = list(zip(*out, strict=True)) or [[], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], ["anchor", "context", "bytes"])
 
-    return texts.select("__text", "wanted").mapInArrow(run, "anchor long, context long, large boolean, bytes binary")
+    return texts.select("__text", "__size", "wanted").mapInArrow(run, "anchor long, context long, bytes binary")
 
 
 RUNS = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("context", T.LongType()), T.StructField("from", T.IntegerType()), T.StructField("to", T.IntegerType())])
@@ -245,13 +265,19 @@ def repeats(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id"
     kinds = seen.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("rid", "start", "count")).alias("one")).checkpoint()
     several = kinds.groupBy("anchor").agg(F.count("*").alias("m"), F.sum(F.col("one.count") + (length - 1)).alias("bytes")).where("m > 1")
     unlike = kinds.join(several, "anchor").select("anchor", "context", "one.rid", "one.start", "one.count", (F.col("bytes") > block).alias("large"))
-    wanted = unlike.groupBy("rid").agg(F.collect_list(F.struct("anchor", "context", "start", "count", "large")).alias("wanted"))
-    cut = _cut(source.dropDuplicates(["rid"]).join(wanted, "rid"), length).checkpoint()
-    runs = _sorted_blocks(cut.where("not large"), length, block).unionAll(_named_strings(cut.where("large"), length))
+
+    def cut(contexts: DataFrame) -> DataFrame:
+        # a repeated row gives its contexts twice, but they are repeats already
+        wanted = contexts.groupBy("rid").agg(F.collect_list(F.struct("anchor", "context", "start", "count")).alias("wanted"))
+        return _cut(_packed(source).join(wanted, "rid"), length)
+
+    runs = _sorted_blocks(cut(unlike.where("not large")), length, block)
+    if not several.where(F.col("bytes") > block).isEmpty():
+        runs = runs.unionAll(_named_strings(cut(unlike.where("large")), length))
     runs = runs.unionAll(kinds.where("n > 1").select("anchor", "context", F.lit(0).alias("from"), (F.col("one.count") - 1).alias("to")))
     spans = seen.join(runs, ["anchor", "context"]).select("rid", F.struct((F.col("start") + F.col("from")).alias("start"), (F.col("start") + F.col("to") + length).alias("end")).alias("span"))
     found = spans.groupBy("rid").agg(F.collect_set("span").alias("found"))
-    joined = rows.join(found, "rid", "left").select(*names, "__text", "found")
+    joined = _packed(rows).join(found, "rid", "left").select(*names, "__text", "__size", "found")
 
     fields = [joined.schema[c] for c in names]
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -262,7 +288,7 @@ def repeats(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id"
         for whole in batches:
             for batch in slices(whole, "__text"):
                 spans, kept, sizes = [], [], []
-                for text, found in zip(as_binary(batch.column("__text")).to_pylist(), batch.column("found").to_pylist(), strict=True):
+                for text, found in zip(_unpacked(batch), batch.column("found").to_pylist(), strict=True):
                     merged: list[list[int]] = []
                     for s in sorted((f["start"], f["end"]) for f in found or ()):
                         if merged and s[0] <= merged[-1][1]:

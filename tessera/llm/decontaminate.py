@@ -2,14 +2,15 @@
 
 A benchmark item has a weighted set of word shingles (weight: occurrences) and a
 64-bit SimHash of it.  Documents are cut into windows of the item's own number of
-words; a window's SimHash is found from running sums of its shingles' bits.  The
-fingerprints are split into radius + 1 blocks, and a pair within the radius agrees
-in at least one block, so the multi-index finds every pair within the radius.
-Candidates are verified by exact weighted Jaccard similarity.
+words; a window's SimHash is found from running sums of its shingles' bits.  A
+window that reaches the similarity differs from the item in a bounded total
+weight, and a bit sum changes by that weight at most: the bits whose sum in the
+item is greater, whatever the shingles and their weights, are the same in both.
+Windows that agree with the item in these firm bits are verified by exact weighted
+Jaccard similarity, so the fingerprints exclude no match.  Long items have few
+firm bits; all their windows are verified then.
 
-Windows without any shingle of the benchmark have similarity 0 and are not
-formed.  `RADIUS` 19 of 64 bits lies about three and a half standard deviations
-above the expected distance of a pair at similarity 0.8.
+Windows without any shingle of the benchmark have similarity 0 and are not formed.
 
 The benchmark is a stated query set: it goes to the tasks in blocks of at most
 `BLOCK_BYTES` of text, each block against all documents.
@@ -33,7 +34,7 @@ from pyspark.sql import types as T
 
 from tessera.llm.textops import U64, Words, buffers, slices, whole_hash
 
-SHINGLE, SIMILARITY, RADIUS, BITS = 5, 0.8, 19, 64
+SHINGLE, SIMILARITY, BITS = 5, 0.8, 64
 BLOCK_BYTES = 16 << 20
 FILTER_BITS = 22
 
@@ -48,14 +49,17 @@ def fingerprint(sums: np.ndarray) -> np.ndarray:
     return sums > 0
 
 
+def packed(bits: np.ndarray) -> np.ndarray:
+    """Rows of 64 bits as one word each."""
+    return np.packbits(bits, axis=1).view(U64).reshape(-1)
+
+
 class Benchmark:
-    """Items by their number of words, with shingle weights, fingerprints and the block index."""
+    """Items with their number of words, shingle weights, bit sums and fingerprints."""
 
-    def __init__(self, items: Sequence[tuple[object, str]], n: int = SHINGLE, radius: int = RADIUS):
-        self.n, self.radius = n, radius
-        edges = np.linspace(0, BITS, radius + 2).round().astype(int)
-        self.cuts = list(zip(edges[:-1], edges[1:], strict=True))
-        self.ids, self.words, self.sets, bits = [], [], [], []
+    def __init__(self, items: Sequence[tuple[object, str]], n: int = SHINGLE):
+        self.n = n
+        self.ids, self.words, self.sets, self.total, sums = [], [], [], [], []
         for key, text in items:
             raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
             words = Words(raw, np.array([0, len(raw)]))
@@ -66,8 +70,10 @@ class Benchmark:
             self.ids.append(key)
             self.words.append(len(words.hash))
             self.sets.append((shingle, weight))
-            bits.append(fingerprint((signs(shingle) * weight[:, None]).sum(axis=0)))
-        self.bits = np.array(bits, dtype=bool).reshape(len(self.ids), BITS)
+            self.total.append(int(weight.sum()))
+            sums.append((signs(shingle) * weight[:, None]).sum(axis=0))
+        self.sums = np.array(sums, dtype=np.int64).reshape(len(self.ids), BITS)
+        self.bits = packed(fingerprint(self.sums))
         self.all = np.unique(np.concatenate([s for s, _ in self.sets])) if self.sets else np.zeros(0, U64)
         self.owners: dict[int, list[int]] = {}
         for i, (shingle, _) in enumerate(self.sets):
@@ -75,66 +81,66 @@ class Benchmark:
                 self.owners.setdefault(h, []).append(i)
         self.filter = np.zeros(1 << FILTER_BITS, dtype=bool)
         self.filter[(self.all >> U64(64 - FILTER_BITS)).astype(np.int64)] = True
-        self.index: list[dict[bytes, list[int]]] = [{} for _ in self.cuts]
-        for i, b in enumerate(self.bits):
-            for (a, z), table in zip(self.cuts, self.index, strict=True):
-                table.setdefault(b[a:z].tobytes(), []).append(i)
 
     def hits(self, hashes: np.ndarray) -> np.ndarray:
         """Indices of hashes that are shingles of the benchmark."""
         at = np.flatnonzero(self.filter[(hashes >> U64(64 - FILTER_BITS)).astype(np.int64)])
         return at[np.isin(hashes[at], self.all)] if len(at) else at
 
-    def near(self, windows: np.ndarray, length: int, whole: bool) -> dict[int, np.ndarray]:
-        """For items of that many words (or of more, for a whole short text): which windows lie within the radius."""
-        out: dict[int, np.ndarray] = {}
-        for (a, z), table in zip(self.cuts, self.index, strict=True):
-            block = windows[:, a:z]
-            patterns, inverse = np.unique(block, axis=0, return_inverse=True)
-            inverse = inverse.reshape(-1)
-            for j, p in enumerate(patterns):
-                for i in table.get(p.tobytes(), ()):
-                    if self.words[i] == length or whole and self.words[i] > length:
-                        out.setdefault(i, np.zeros(len(windows), dtype=bool))[inverse == j] = True
-        return {i: rows & ((windows ^ self.bits[i]).sum(axis=1) <= self.radius) for i, rows in out.items()}
+    def firm(self, i: int, width: int, similarity: float) -> np.uint64:
+        """The fingerprint bits that every window of `width` shingles and the wanted similarity has in common with the item."""
+        total = self.total[i] + width
+        shared = int(np.ceil(similarity * total / (1 + similarity) - 1e-9))  # the least that reaches the similarity
+        return packed(np.abs(self.sums[i : i + 1]) > total - 2 * shared)[0]
+
+    def shared(self, i: int, hashes: np.ndarray, places: np.ndarray, width: int, starts: np.ndarray) -> np.ndarray:
+        """Shingles that item and window share, with their multiplicity, for the windows at `starts`; `places` are the item's shingles in the text.
+
+        An occurrence counts in the windows that hold it, but fewer than its shingle's weight of earlier ones."""
+        shingle, weight = self.sets[i]
+        at = np.searchsorted(shingle, hashes[places])
+        order = np.argsort(at, kind="stable")
+        at, place = at[order], places[order]
+        before = np.arange(len(at)) - weight[at]  # the occurrence that must lie before the window
+        known = (before >= 0) & (at[before] == at)
+        begin = np.maximum(np.where(known, place[before], -1), place - width) + 1
+        low = int(starts[0])
+        steps = np.zeros(int(starts[-1]) - low + 2, dtype=np.int64)
+        np.add.at(steps, np.clip(begin - low, 0, len(steps) - 1), 1)
+        np.add.at(steps, np.clip(place + 1 - low, 0, len(steps) - 1), -1)
+        return np.cumsum(steps)[starts - low]
 
     def match(self, hashes: np.ndarray, total_words: int, similarity: float) -> list[tuple[int, float, int, int]]:
         """(item, similarity, first word, words) of the best window of each matching item in one text's shingle hashes."""
-        hit = self.hits(hashes)
-        best: dict[int, tuple[float, int, int]] = {}
-        spans: dict[tuple[int, bool], set[int]] = {}
-        for p in hit.tolist():
+        places: dict[int, list[int]] = {}
+        for p in self.hits(hashes).tolist():
             for i in self.owners[int(hashes[p])]:
-                need = self.words[i]
-                if need > total_words:
-                    spans.setdefault((total_words, True), set()).add(0)
-                else:
-                    width = max(need - self.n + 1, 1)  # shingles of a window
-                    spans.setdefault((need, False), set()).update(range(max(0, p - width + 1), min(p, len(hashes) - width) + 1))
-        for (length, whole), starts in sorted(spans.items()):
-            first = np.array(sorted(starts))
-            width = max(length - self.n + 1, 1)
+                places.setdefault(i, []).append(p)
+        lengths: dict[int, list[int]] = {}
+        for i in places:
+            lengths.setdefault(min(self.words[i], total_words), []).append(i)
+        best: dict[int, tuple[float, int, int]] = {}
+        for length, items in lengths.items():
+            width = max(length - self.n + 1, 1)  # shingles of a window
+            last = len(hashes) - width
+            edge = np.zeros(last + 2, dtype=np.int64)  # windows with a shingle of one of the items
+            where = np.unique(np.concatenate([places[i] for i in items]))
+            np.add.at(edge, np.clip(where - width + 1, 0, last + 1), 1)
+            np.add.at(edge, np.minimum(where, last) + 1, -1)
+            first = np.flatnonzero(np.cumsum(edge)[: last + 1])
             low, high = int(first[0]), int(first[-1]) + width
-            part = hashes[low:high]
-            sums = np.zeros((len(part) + 1, BITS), dtype=np.int32)
-            np.cumsum(signs(part), axis=0, out=sums[1:])
-            windows = fingerprint(sums[first - low + width] - sums[first - low])
-            for i, rows in self.near(windows, length, whole).items():
-                if not rows.any():
+            sums = np.zeros((high - low + 1, BITS), dtype=np.int32)
+            np.cumsum(signs(hashes[low:high]), axis=0, out=sums[1:])
+            windows = packed(fingerprint(sums[first - low + width] - sums[first - low]))
+            for i in items:
+                starts = first[(windows ^ self.bits[i]) & self.firm(i, width, similarity) == 0]
+                if not len(starts):
                     continue
-                shingle, weight = self.sets[i]
-                at = np.searchsorted(shingle, part)
-                at[at == len(shingle)] = 0
-                hot = np.zeros((len(part) + 1, len(shingle)), dtype=np.int32)
-                found = shingle[at] == part
-                hot[1:][np.flatnonzero(found), at[found]] = 1
-                hot = np.cumsum(hot, axis=0)
-                starts_of = first[rows] - low
-                both = np.minimum(hot[starts_of + width] - hot[starts_of], weight).sum(axis=1)
-                ratio = both / (width + weight.sum() - both)
+                both = self.shared(i, hashes, np.array(places[i]), width, starts)
+                ratio = both / (width + self.total[i] - both)
                 top = int(np.argmax(ratio))
-                if ratio[top] >= similarity and ratio[top] > best.get(i, (0.0,))[0]:
-                    best[i] = (float(ratio[top]), int(starts_of[top]) + low, length)
+                if ratio[top] >= similarity:
+                    best[i] = (float(ratio[top]), int(starts[top]), length)
         return [(i, *b) for i, b in sorted(best.items())]
 
     def rows(self, column: pa.Array, similarity: float) -> list[tuple[int, int, float, int, int]]:
@@ -163,7 +169,7 @@ def _blocks(benchmark: DataFrame, key: str, text: str, limit: int) -> Iterator[l
         yield [(r["k"], r["t"]) for r in sorted(part.collect(), key=lambda r: (r["k"] is None, r["k"], r["t"]))]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",), item: str = "item_id", item_text: str = "text", n: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",), item: str = "item_id", item_text: str = "text", n: int = SHINGLE, similarity: float = SIMILARITY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A row for each document and item that match: `keep`, item_id, similarity, first_word, n_words."""
     made = T.StructType([T.StructField("item_id", benchmark.schema[item].dataType), T.StructField("similarity", T.DoubleType()), T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType())])
     fields = [docs.schema[c] for c in keep if c not in {f.name for f in made.fields}]
@@ -173,7 +179,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: Seq
 
     def against(items: list[tuple[object, str]]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bench = Benchmark(items, n, radius)
+            bench = Benchmark(items, n)
             for whole in batches:
                 for batch in slices(whole, "__text"):
                     found = bench.rows(batch.column("__text"), similarity)
@@ -189,12 +195,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: Seq
     return reduce(DataFrame.unionAll, parts) if parts else source.sparkSession.createDataFrame([], schema)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", n: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", n: int = SHINGLE, similarity: float = SIMILARITY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents that match no item, all columns kept, in one pass for each block of items."""
 
     def without(rows: DataFrame, items: list[tuple[object, str]]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bench = Benchmark(items, n, radius)
+            bench = Benchmark(items, n)
             for whole in batches:
                 for batch in slices(whole, text):
                     hit = {r for r, *_ in bench.rows(batch.column(text), similarity)}

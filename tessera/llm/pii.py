@@ -83,10 +83,10 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[1], BASE_KINDS.index(s[0]), s[2]))
 
 
-#: High-recall generators, tried on any text with a digit or an @.
+#: High-recall generators, tried on any text: no candidate depends on what else its text holds.
 GENERATORS = {
-    "secret": re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,64}(?![A-Za-z0-9_/+-])"),
-    "credential": re.compile(r"(?<=[=:])[ ]?[\"']?[A-Za-z0-9!#$%^&*_/+.-]{6,64}"),
+    "secret": re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,}(?![A-Za-z0-9_/+-])"),
+    "credential": re.compile(r"(?<=[=:])[ ]?[\"']?[A-Za-z0-9!#$%^&*_/+.-]{6,}"),
     "id": re.compile(r"(?<![0-9A-Za-z-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)(?![0-9A-Za-z-])"),
     "number": re.compile(r"(?<![0-9A-Za-z.-])\(?[0-9][0-9 ()/-]{6,18}[0-9](?![0-9A-Za-z.-])"),
 }
@@ -98,12 +98,11 @@ WORDS_BEFORE = 24
 
 
 def candidates(text: str) -> Iterator[Span]:
-    if TRIGGER.search(text):
-        for kind, pattern in GENERATORS.items():
-            for m in pattern.finditer(text):
-                start = m.start() + len(m.group()) - len(m.group().lstrip(" \"'"))
-                if start < m.end():
-                    yield kind, start, m.end()
+    for kind, pattern in GENERATORS.items():
+        for m in pattern.finditer(text):
+            start = m.start() + len(m.group()) - len(m.group().lstrip(" \"'"))
+            if start < m.end():
+                yield kind, start, m.end()
 
 
 def describe(text: str, span: Span) -> list[int]:
@@ -119,7 +118,7 @@ def describe(text: str, span: Span) -> list[int]:
     named = lambda group: int(any(w in group for w in words))
     return [
         list(GENERATORS).index(kind),
-        min(n // 4, 15),
+        min(n // 4, 14 + (n >= 60) + (n > 64) + (n > 128) + (n > 256)),
         min(10 * digits // n, 10),
         min(10 * upper // n, 10),
         min(10 * lower // n, 10),
@@ -148,6 +147,9 @@ def examples(n: int, seed: int) -> list[tuple[str, Span, int]]:
         lambda: f'token = "{pick("0123456789abcdef", rng.choice((32, 40, 64)))}"',
         lambda: f"api_key: {pick(lower + upper + digit, rng.randint(20, 40))}",
         lambda: f"secret={pick(lower + upper + digit, rng.randint(10, 30))}",
+        lambda: f"{rng.choice(('password', 'passwd', 'pwd'))}{rng.choice(('=', ': '))}{'-'.join(word() for _ in range(rng.randint(3, 5)))}",
+        lambda: f"{rng.choice(('secret', 'token', 'auth', 'api_key'))}{rng.choice(('=', ': '))}{pick(rng.choice((lower, lower + upper, lower + upper + digit, '0123456789abcdef')), rng.randint(65, 400))}",
+        lambda: f"{rng.choice(('secret', 'token', 'key'))} {pick(lower + upper + digit, rng.randint(16, 200))}",
         lambda: f"ssn {pick(digit, 3)}-{pick(digit, 2)}-{pick(digit, 4)}",
         lambda: f"iban {pick(upper, 2)}{pick(digit, 2)} {pick(digit, 4)} {pick(digit, 4)} {pick(digit, 4)} {pick(digit, 2)}",
         lambda: f"call ({pick(digit, 3)}) {pick(digit, 3)}-{pick(digit, 4)}",
@@ -166,6 +168,14 @@ def examples(n: int, seed: int) -> list[tuple[str, Span, int]]:
         lambda: f"{word()}: {word()}{word()} {rng.randint(1, 9)}",
         lambda: f"colour={word()}{rng.randint(0, 9)}",
         lambda: f"order {pick(digit, 8)}",
+        lambda: f"{word()}{rng.choice((': ', '=', ':'))}{pick(lower, rng.randint(6, 14))}",
+        lambda: f"{rng.choice(CONTEXT)} {pick(lower, rng.randint(16, 24))}",
+        lambda: f"{word()} {rng.choice('-/_').join(word() for _ in range(rng.randint(4, 40)))}",
+        lambda: f"https://{word()}.org/{'/'.join(word() for _ in range(rng.randint(2, 20)))}",
+        lambda: f"{word()} {rng.choice('-_+/a0') * rng.randint(16, 200)}",
+        lambda: f"{word()} {pick(upper, rng.randint(16, 40))}",
+        lambda: f"{word()} {pick(upper, 1)}{pick(lower, rng.randint(15, 40))}",
+        lambda: f"{word()} {pick('acgt', rng.randint(65, 400))}",
         lambda: f"{word()} {pick(digit, 12)}",
         lambda: f"/{word()}/{word()}/{word()}{rng.randint(0, 99)}",
     ]
@@ -238,8 +248,7 @@ def find(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",),
                     t = (raw or b"").decode("utf-8", "replace")
                     base = base_spans(t)
                     spans = [(s, 1.0, True) for s in base]
-                    if TRIGGER.search(t):
-                        spans += [(s, q, False) for s, q in detector().spans(t, base)]
+                    spans += [(s, q, False) for s, q in detector().spans(t, base)]
                     spans.sort(key=lambda x: (x[0][1], KINDS.index(x[0][0]), x[0][2]))
                     rows.append([{"kind": s[0], "start": s[1], "end": s[2], "base": b, "score": q} for s, q, b in spans])
                     if redact:

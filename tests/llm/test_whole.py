@@ -3,7 +3,9 @@
 import collections
 import random
 
-from tessera.llm import decontaminate
+import numpy as np
+
+from tessera.llm import decontaminate, pii
 
 
 def test_decontaminate_repeated_shingles(spark):
@@ -42,3 +44,28 @@ def test_decontaminate_by_brute_force():
         assert [(s, a) for _, _, s, a, _ in got] == ([(scores[top], top)] if scores[top] >= 0.8 else [])
         hits += len(got)
     assert hits > 20
+
+
+def test_pii_long_and_digitless_secrets(spark):
+    rng = random.Random(3)
+    pick = lambda k: "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(k))
+    secrets = [("secret=", pick(96)), ("token ", pick(82)), ("token = ", pick(300)), ("password=", "correct-horse-battery"), ("pwd: ", "mellow-orange-tin")]
+    docs = spark.createDataFrame([(i, f"some words {a}{b} and more words") for i, (a, b) in enumerate(secrets)], "doc_id long, text string")
+    rows = sorted(pii.find(docs, redact=True).collect())
+    for r, (a, b) in zip(rows, secrets, strict=True):
+        assert [(s["start"], s["end"]) for s in r["spans"]] == [(11 + len(a), 11 + len(a + b))]
+        assert r["redacted"] == f"some words {a}[{r['spans'][0]['kind']}] and more words"
+    plain = ["note: tomorrow we meet", "-" * 90, "the state-of-the-art-methods-here", "see https://example.org/some/long/path/of/words/without/any/number", "DONAUDAMPFSCHIFFFAHRT und Donaudampfschifffahrt"]
+    assert all(not pii.detector().spans(t, []) for t in plain)
+
+
+def test_pii_examples_hold_long_and_digitless_candidates():
+    rows = pii.examples(1500, seed=998)
+    for kind in ("secret", "credential"):
+        own = [(t, s, y) for t, s, y in rows if s[0] == kind]
+        for part in ([x for x in own if x[1][2] - x[1][1] > 64], [x for x in own if not any(c.isdigit() or c == "@" for c in x[0])]):
+            assert {y for *_, y in part} == {0, 1}
+            model = pii.detector()
+            hit = np.array([p >= model.thresholds[kind] for p in model.model.probability(np.array([pii.describe(t, s) for t, s, _ in part]))])
+            truth = np.array([y for *_, y in part], dtype=bool)
+            assert (hit & truth).sum() >= 0.9 * truth.sum() and (hit & ~truth).sum() <= 0.05 * hit.sum()

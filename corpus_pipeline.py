@@ -31,10 +31,18 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group linked by five-word Jaccard similarity 0.8 or more."""
-    groups = simjoin.components(docs)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row, that of the smallest id, of each group linked by five-word Jaccard similarity 0.8 or more.
+
+    Rows count by id and text: a null id comes after all others, of one id the smaller hash of the text stays, and of
+    rows equal in both any one.  Rows without words are in no group and stay.
+    """
+    rows = docs.withColumn("__row", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text")))
+    gone = linededup.small(simjoin.components(rows, key="__row").where("__row <> component_id").select("__row").distinct())
+    equal = rows.where(F.col("text").rlike("[^\\x20\\x09-\\x0D]")).groupBy("__row").agg(F.count("*").alias("n")).where("n > 1").select("__row")
+    equal = linededup.small(equal)
+    left = rows.join(gone, "__row", "left_anti")
+    once = left.join(equal, "__row", "left_semi").dropDuplicates(["__row"])
+    return left.join(equal, "__row", "left_anti").unionByName(once).select(docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

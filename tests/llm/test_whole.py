@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 
+import corpus_pipeline
 from tessera.llm import decontaminate, pii
 
 
@@ -69,3 +70,14 @@ def test_pii_examples_hold_long_and_digitless_candidates():
             hit = np.array([p >= model.thresholds[kind] for p in model.model.probability(np.array([pii.describe(t, s) for t, s, _ in part]))])
             truth = np.array([y for *_, y in part], dtype=bool)
             assert (hit & truth).sum() >= 0.9 * truth.sum() and (hit & ~truth).sum() <= 0.05 * hit.sum()
+
+
+def test_near_copies_repeated_and_null_ids(spark):
+    rng = random.Random(4)
+    a, b, c, d = (" ".join(f"w{rng.randrange(9999)}" for _ in range(60)) for _ in range(4))
+    rows = [(1, a), (1, a), (2, a), (2, b), (None, a + " end"), (3, c), (3, c), (None, d), (None, d + " end"), (4, ""), (4, ""), (None, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    assert sum(r in ((None, d), (None, d + " end")) for r in got) == 1  # one of two null ids
+    rest = collections.Counter(r for r in got if not (r[1] or "").startswith(d))
+    assert rest == collections.Counter([(1, a), (2, b), (3, c), (4, ""), (4, ""), (None, None), (None, None)])

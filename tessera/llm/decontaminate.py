@@ -16,7 +16,8 @@ The benchmark is a stated query set: it goes to the tasks in blocks of at most
 `BLOCK_BYTES` of text, each block against all documents.
 
 Defined results: null texts, and texts or items without words, match nothing; a
-text or item shorter than a shingle is one shingle, its whole sequence; a text
+text or item shorter than a shingle is one shingle, its whole sequence (such an
+item matches whole equal texts only, not a place in a longer one); a text
 shorter than an item is one window; repeated documents or items match each on
 its own; of equally similar windows the first is reported.
 """

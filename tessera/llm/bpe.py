@@ -35,8 +35,8 @@ WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT = rf" ?\p{{L}}+| ?\p{{N}}+|'s|'t|'re|'ve|'m|'ll|'d| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 #: White space, in the widest sense, and a space after it.
 AFTER_WHITE = re.compile(r"\s ")
-#: Encoded words that a Python worker keeps between rows and tasks.
-CACHE_WORDS = 150_000
+#: Encoded words that a Python worker keeps between rows and tasks; when full, those that several runs of rows held stay.
+CACHE_WORDS = 200_000
 #: Remembered seams and matcher steps of a Python worker.
 CACHE_SEAMS, CACHE_STEPS = 250_000, 450_000
 
@@ -83,6 +83,7 @@ class Vocabulary:
         self.cutter = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.paired: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
+        self.common: set[str] = set()  # cached words met again in a later run of rows
 
     def joins(self, a: int, b: int) -> bool:
         """Whether tokens a, b side by side stay as they are under the merge order.
@@ -216,19 +217,25 @@ class Vocabulary:
             cut.append(pieces)
             for chunks, _ in pieces:
                 fresh.update(chunks)
+        self.common |= fresh & known.keys()
         if len(known) + len(fresh) > CACHE_WORDS:
-            known.clear()
+            self.words = known = {w: known[w] for w in self.common}
+            if len(known) > CACHE_WORDS // 2:  # learn anew which words are common
+                self.common = fresh & known.keys()
         fresh.difference_update(known)
         words = {c: find(c) for c in fresh}
         plain = {w for ws in words.values() for w in ws}
+        self.common |= plain & known.keys()
         plain.difference_update(known)
-        spelt = sorted((w.encode(), w) for w in plain)
-        for (_, w), got in zip(spelt, self.walk([b for b, _ in spelt]), strict=True):
+        spelt = sorted(plain)  # code points order as their UTF-8 bytes do
+        for w, got in zip(spelt, self.walk([w.encode() for w in spelt]), strict=True):
             known[w] = array("I", got).tobytes()
-        for c, ws in words.items():
-            if c not in known:
-                known[c] = b"".join(map(known.__getitem__, ws))
-        return [b"".join([b"".join(map(known.__getitem__, chunks)) + special for chunks, special in pieces]) for pieces in cut]
+        chunk = {c: b"".join(map(known.__getitem__, ws)) for c, ws in words.items() if len(ws) != 1}
+        known.update(chunk)  # several words without a space between them: seldom met again, so not kept
+        out = [b"".join([b"".join(map(known.__getitem__, chunks)) + special for chunks, special in pieces]) for pieces in cut]
+        for c in chunk:
+            del known[c]
+        return out
 
     def decode(self, ids: bytes) -> str:
         """Text of little-endian ids; bytes that are no UTF-8 become U+FFFD, an unknown id nothing."""
@@ -270,6 +277,24 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: Sequence[str] =
     return source.mapInArrow(run, schema)
 
 
+def round_trip(docs: DataFrame, path: str, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """`encode` and `decode` in one pass over one vocabulary: `keep` columns, ids, n_tokens and `decoded`."""
+    fields = _kept(docs, keep, ("ids", "n_tokens", "decoded"))
+    names = [f.name for f in fields]
+    schema = T.StructType([*fields, T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("decoded", T.StringType())])
+    source = docs.select(*(docs[c] for c in names), docs[text].cast("binary").alias("__text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(path)
+        for whole in batches:
+            for batch in slices(whole, "__text"):
+                ids = v.encode_batch([(b or b"").decode("utf-8", "replace") for b in as_binary(batch.column("__text")).to_pylist()])
+                made = [pa.array(ids, pa.binary()), pa.array([len(b) // 4 for b in ids], pa.int64()), pa.array(map(v.decode, ids), pa.string())]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *made], [*names, "ids", "n_tokens", "decoded"])
+
+    return source.mapInArrow(run, schema)
+
+
 def decode(encoded: DataFrame, path: str, ids: str = "ids", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """`keep` columns and `decoded`, the text of each row's ids; null ids are none."""
     fields = _kept(encoded, keep, ("decoded",))

@@ -16,9 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = bpe.default_path()
-    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    return bpe.decode(encoded, path, keep=("doc_id", "n_tokens", "ids")).select(
+    return bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), bpe.default_path()).select(
         "doc_id",
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),

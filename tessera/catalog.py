@@ -1,7 +1,7 @@
 """Registered queries over the engine's operators, each with its DuckDB oracle.
 
-The graph fixture takes one edge per order: from the order key modulo the number of
-parts to the part key.  Results that are doubles are rounded to 6 decimals on both
+The graph fixture takes an edge from each line item: from the order key modulo the
+number of parts to the part key.  Results that are doubles are rounded to 6 decimals on both
 sides.
 """
 
@@ -18,7 +18,7 @@ from tessera.operators import arrays, combine, graph, windows
 from tessera.plans import bfs, kmeans, logreg, pagerank, preprocess, wordcount
 from tessera.sources import files, generators
 from tessera.streaming import jobs
-from tessera.streaming.pipeline import DoFn, FixedWindows, ParDo, PCollection, WindowedCombine
+from tessera.streaming.pipeline import DoFn, FixedWindows, ParDo, PCollection, Shuffle, WindowedCombine
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -155,13 +155,13 @@ def word_map_format(spark, sf_dir):
 
 # Arrays and graph ---------------------------------------------------------------------
 
-E = "v AS (SELECT count(*) AS n FROM part), e AS (SELECT l_orderkey % v.n AS src, l_partkey AS dst FROM lineitem, v WHERE l_linenumber = 1)"
+E = "v AS (SELECT count(*) AS n FROM part), e AS (SELECT l_orderkey % v.n AS src, l_partkey AS dst FROM lineitem, v)"
 VERT = ", vert AS (SELECT unnest(range(v.n)) AS v FROM v)"
 
 
 def _edges(spark, sf_dir):
     n = table(spark, sf_dir, "part").count()
-    return table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select((F.col("l_orderkey") % F.lit(n)).alias("src"), F.col("l_partkey").alias("dst")), n
+    return table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % F.lit(n)).alias("src"), F.col("l_partkey").alias("dst")), n
 
 
 def _graph(spark, sf_dir):
@@ -180,6 +180,18 @@ def array_reduce_max(spark, sf_dir):
     return arrays.max_id(_edges(spark, sf_dir)[0])
 
 
+def _add_gap(acc, row):
+    gap = abs(row["src"] - row["dst"])
+    return max(acc[0], gap), acc[1] + gap
+
+
+@query(f"WITH {E} SELECT max(abs(src - dst)) AS widest, CAST(sum(abs(src - dst)) AS BIGINT) AS total FROM e")
+def array_fold_merge(spark, sf_dir):
+    """A user's fold and merge: the widest gap between ends, and the sum of the gaps."""
+    found = arrays.fold(_edges(spark, sf_dir)[0], lambda: (0, 0), _add_gap, lambda a, b: (max(a[0], b[0]), a[1] + b[1]))
+    return spark.createDataFrame([found], "widest long, total long")
+
+
 @query(f"WITH {E} SELECT count(*) AS size FROM e")
 def array_global_size(spark, sf_dir):
     return arrays.global_size(_edges(spark, sf_dir)[0])
@@ -223,6 +235,26 @@ def remap_equal_vertex(spark, sf_dir):
     return preprocess.remap(edges, lambda c: ids.remap_equal_vertex(c, PARTS, n)).groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
+@query(
+    f"WITH {E}, d AS (SELECT src AS v, count(*) AS d FROM e GROUP BY src), s AS (SELECT v, (CAST(sum(d) OVER (ORDER BY v) AS BIGINT) - d) * {PARTS} // (SELECT count(*) FROM e) AS share FROM d), "
+    f"b AS (SELECT i, coalesce((SELECT min(s.v) FROM s WHERE s.share >= i), v.n) AS low FROM range(1, {PARTS}) r(i), v), p AS (SELECT src, (SELECT count(*) FROM b WHERE low <= src) AS part FROM e) "
+    "SELECT part, count(*) AS edges, min(src) AS low, max(src) AS high FROM p GROUP BY part"
+)
+def remap_equal_edges(spark, sf_dir):
+    """Ranges of vertices with about equal numbers of out-edges."""
+    edges, n = _edges(spark, sf_dir)
+    bounds = preprocess.equal_edge_bounds(edges, n, PARTS)
+    owned = edges.select("src", preprocess.owner(F.col("src"), bounds).cast("long").alias("part"))
+    return owned.groupBy("part").agg(F.count("*").alias("edges"), F.min("src").alias("low"), F.max("src").alias("high"))
+
+
+@query(f"WITH {E}{VERT} SELECT (vert.v >= v.n // 4)::BIGINT + (vert.v >= v.n // 2)::BIGINT + (vert.v >= 3 * v.n // 4)::BIGINT AS part, count(*) AS n FROM vert, v GROUP BY 1")
+def range_ownership(spark, sf_dir):
+    vertices, _ = _graph(spark, sf_dir)
+    n = vertices.count()
+    return vertices.groupBy(preprocess.owner(F.col("v"), [0, n // 4, n // 2, 3 * n // 4, n]).cast("long").alias("part")).agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {R} SELECT DISTINCT src AS vid, src >> 30 AS part, src & 1073741823 AS off FROM r")
 def decompose_vid(spark, sf_dir):
     return _remapped(spark, sf_dir).select(F.col("src").alias("vid"), ids.part_of(F.col("src")).alias("part"), ids.offset_of(F.col("src")).alias("off")).distinct()
@@ -472,6 +504,14 @@ def binary_records_roundtrip(spark, sf_dir):
     return packed.select(*files.record_fields(F.col("record"), RECORD)).groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {E} SELECT src, dst, count(*) AS n FROM e GROUP BY src, dst")
+def binary_file_scan(spark, sf_dir):
+    """Edges written as binary files and scanned in equal runs of records."""
+    path = jobs.work_folder(spark, "records")
+    files.write_binary_records(_edges(spark, sf_dir)[0], path, RECORD)
+    return files.read_binary_records(spark, f"{path}/part-*", RECORD, pad=len(files.PAD)).groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {LINES} SELECT rpad(hex(value)[1:64], 64, '0') AS line, count(*) AS n FROM lines GROUP BY 1")
 def fixed_width_lines(spark, sf_dir):
     lines = wordcount.lines(table(spark, sf_dir, "documents"))
@@ -494,13 +534,37 @@ def array_persist_append(spark, sf_dir):
     return files.load_array(spark, path).groupBy("part").agg(F.count("*").alias("n"), F.bit_xor("checksum").alias("checksum"))
 
 
-@query("SELECT 'total_num_edges' AS key, (SELECT count(*) FROM lineitem WHERE l_linenumber = 1)::VARCHAR AS value UNION ALL SELECT 'total_num_nodes', (SELECT count(*) FROM part)::VARCHAR")
+@query("SELECT 'total_num_edges' AS key, (SELECT count(*) FROM lineitem)::VARCHAR AS value UNION ALL SELECT 'total_num_nodes', (SELECT count(*) FROM part)::VARCHAR")
 def config_scan(spark, sf_dir):
     nodes = table(spark, sf_dir, "part").agg(F.concat(F.lit("total_num_nodes = "), F.count("*")).alias("value"))
-    edges = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").agg(F.concat(F.lit("total_num_edges = "), F.count("*")).alias("value"))
+    edges = table(spark, sf_dir, "lineitem").agg(F.concat(F.lit("total_num_edges = "), F.count("*")).alias("value"))
     return files.config_rows(nodes.unionAll(edges))
 
 
+@query("SELECT 'total_num_edges' AS key, (SELECT count(*) FROM lineitem)::VARCHAR AS value UNION ALL SELECT 'total_num_nodes', (SELECT count(*) FROM part)::VARCHAR")
+def config_file_scan(spark, sf_dir):
+    path = jobs.work_folder(spark, "config")
+    counts = [(f"total_num_{name} = {table(spark, sf_dir, t).count()}",) for name, t in (("nodes", "part"), ("edges", "lineitem"))]
+    files.write_text(spark.createDataFrame(counts, "value string"), path)
+    return spark.createDataFrame(sorted(files.read_config(spark, path).items()), "key string, value string")
+
+
+@query("SELECT l_partkey % 4 AS part, count(*) AS n FROM lineitem GROUP BY 1")
+def array_in_memory(spark, sf_dir):
+    path = jobs.work_folder(spark, "memory")
+    files.persist_array(table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 4).alias("part")), path)
+    return files.load_in_memory(spark, path).groupBy("part").agg(F.count("*").alias("n"))
+
+
+def _squares(instance):
+    return ((instance, i, i * i + instance) for i in range(1000))
+
+
+@query("SELECT k AS instance, i, i * i + k AS v FROM range(4) a(k), range(1000) b(i)")
+def generator_function(spark, sf_dir):
+    return generators.generate(spark, _squares, "instance long, i long, v long", 4)
+
+
 # Streams and user-defined functions ----------------------------------------------------
 
 
@@ -509,6 +573,26 @@ def stream_wordcount_topk(spark, sf_dir):
     return jobs.word_top_k(spark, f"{sf_dir}/documents.parquet", 10)
 
 
+@query(f"WITH {WORDS} SELECT word, count(*) AS n FROM words GROUP BY word")
+def watched_text_wordcount(spark, sf_dir):
+    """Lines written as text files into a folder that a stream watches, a few files a batch."""
+    path = jobs.work_folder(spark, "watched")
+    files.write_text(wordcount.lines(table(spark, sf_dir, "documents")).repartition(6), path)
+    return jobs.watched_words(spark, path, 2)
+
+
+@query(f"WITH {EVENTS} SELECT wnid, round(sum(value), 6) AS total, count(*) AS n FROM e GROUP BY wnid")
+def stream_latency_trigger(spark, sf_dir):
+    return jobs.window_sums(spark, f"{sf_dir}/events.parquet", HOUR_US, every="200 milliseconds").select("wnid", r6("total"), "n")
+
+
+@query(f"WITH {EVENTS} SELECT wnid, count(*) AS n, 1 AS tasks FROM e GROUP BY wnid")
+def shuffle_by_window(spark, sf_dir):
+    """All rows of a window meet in one task."""
+    events = PCollection(table(spark, sf_dir, "events")).apply(FixedWindows.assign("ts", HOUR_US)).apply(Shuffle.by_window(PARTS))
+    return events.df.withColumn("task", F.spark_partition_id()).groupBy("wnid").agg(F.count("*").alias("n"), F.countDistinct("task").cast("int").alias("tasks"))
+
+
 @query(f"WITH {EVENTS} SELECT wnid, round(sum(value), 6) AS total, count(*) AS n FROM e GROUP BY wnid")
 def stream_window_sum(spark, sf_dir):
     return jobs.window_sums(spark, f"{sf_dir}/events.parquet", HOUR_US).select("wnid", r6("total"), "n")

@@ -20,21 +20,22 @@ def offset_of(vid: Column, offset_bits: int = OFFSET_BITS) -> Column:
     return vid.cast("long").bitwiseAND(F.lit((1 << offset_bits) - 1))
 
 
-def _div(a: Column, n: int) -> Column:
-    return (a - a % n) / n
+def whole(a: Column, n: int) -> Column:
+    """a / n rounded towards zero, in integers: exact beyond 2**53 too."""
+    return F.call_function("div", a.cast("long"), F.lit(n).cast("long"))
 
 
 def remap_chunk_round_robin(vid: Column, parts: int, chunk: int, offset_bits: int = OFFSET_BITS) -> Column:
     """Chunks of `chunk` consecutive ids go to the partitions in turn."""
     v = vid.cast("long")
-    turn = _div(v, chunk).cast("long")
-    return compose(turn % parts, _div(turn, parts).cast("long") * chunk + v % chunk, offset_bits)
+    turn = whole(v, chunk)
+    return compose(turn % parts, whole(turn, parts) * chunk + v % chunk, offset_bits)
 
 
 def remap_equal_vertex(vid: Column, parts: int, vertices: int, offset_bits: int = OFFSET_BITS) -> Column:
     """Equal runs of consecutive ids; the run length is rounded up, so that no id falls beyond the last partition."""
     v, chunk = vid.cast("long"), max(1, -(-vertices // parts))
-    return compose(_div(v, chunk).cast("long"), v % chunk, offset_bits)
+    return compose(whole(v, chunk), v % chunk, offset_bits)
 
 
 def is_power_of_two(x: Column) -> Column:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import ensure_checkpoint_dir
+
 
 def array_map(df: DataFrame, **columns: Column) -> DataFrame:
     """One output row per input row, from column expressions."""
@@ -24,6 +28,33 @@ def par_do(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: st
     return df.mapInPandas(run, schema)
 
 
+def fold(df: DataFrame, zero: Callable[[], object], add: Callable[[object, dict], object], merge: Callable[[object, object], object], fan_in: int = 64) -> object:
+    """A user's fold of all rows: each task folds its rows, then partial results (any picklable value) meet, `fan_in` at a time.
+
+    add takes a partial result and a row; merge must be associative and commutative.
+    An empty table gives zero().
+    """
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        acc, some = zero(), False
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                acc, some = add(acc, row), True
+        if some:
+            yield pd.DataFrame({"acc": [pickle.dumps(acc)]})
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [pickle.loads(raw) for batch in batches for raw in batch["acc"]]
+        if parts:
+            yield pd.DataFrame({"acc": [pickle.dumps(reduce(merge, parts))]})
+
+    ensure_checkpoint_dir(df.sparkSession)
+    parts = df.mapInPandas(partial, "acc binary").checkpoint()
+    while (n := parts.count()) > fan_in:
+        parts = parts.repartition(-(-n // fan_in)).mapInPandas(meet, "acc binary").checkpoint()
+    return reduce(merge, (pickle.loads(r["acc"]) for r in parts.collect()), zero())
+
+
 def max_id(edges: DataFrame) -> DataFrame:
     return edges.agg(F.max(F.greatest("src", "dst")).cast("long").alias("max_id"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import ids
+
 SLOTS = 3
 
 
@@ -15,7 +17,8 @@ def micros(ts: Column) -> Column:
 
 def fixed_window(at: Column, size: int) -> Column:
     """Number of the window of `size` units that holds `at`."""
-    return F.floor(at / F.lit(size)).cast("long")
+    whole, n = at.cast("long"), F.lit(size).cast("long")
+    return ids.whole(whole - F.pmod(whole, n), size)  # in integers, also before 1970
 
 
 def sum_count(df: DataFrame, value: str = "value", keys: tuple[str, ...] = ("wnid",)) -> DataFrame:
@@ -32,7 +35,7 @@ def keep_on_time(df: DataFrame, arrival: str, tie: str, tasks: int = 1, chunk: i
     each chunk's maximum first, then those of the chunks before, then within the
     chunk, so that no task needs all rows of a slot.
     """
-    keyed = df.withColumns({"__task": F.pmod("wnid", F.lit(tasks)), "__slot": F.pmod("wnid", F.lit(SLOTS)), "__chunk": F.floor(F.col(arrival) / chunk)})
+    keyed = df.withColumns({"__task": F.pmod("wnid", F.lit(tasks)), "__slot": F.pmod("wnid", F.lit(SLOTS)), "__chunk": fixed_window(F.col(arrival), chunk)})
     keys = ["__task", "__slot", "__chunk"]
     tops = keyed.groupBy(*keys).agg(F.max("wnid").alias("__top"))
     before = Window.partitionBy("__task", "__slot").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)

@@ -19,6 +19,7 @@ def search(edges: DataFrame, root: int, root_again: bool = False) -> DataFrame:
     """
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
+    edges = edges.select("src", "dst").distinct().repartition("src").persist()  # one scan for all levels
     start = spark.range(root, root + 1).select(F.col("id").alias("v"), F.lit(0).alias("level"), F.lit(None).cast("long").alias("parent"))
     steps, frontier, level = [start], start, 0
     visited = start.where(F.lit(not root_again)).select("v")

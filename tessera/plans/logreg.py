@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,15 +15,23 @@ RATE = 0.1
 
 
 def train(rows: DataFrame, dim: int, iterations: int, rate: float = RATE) -> list[float]:
-    """Weights; rows: x (array) and y (0 or 1)."""
-    w = [0.0] * dim
-    x = F.transform("x", lambda v: v.cast("double"))
+    """Weights; rows: x (array) and y (0 or 1).  A task sums its gradient; one value a dimension and task is shuffled."""
+    w = np.zeros(dim)
     for _ in range(iterations):
-        error = vectors.sigmoid(vectors.dot(x, vectors.literal(w))) - F.col("y")
-        parts = rows.select(error.alias("e"), F.posexplode(x).alias("pos", "v"))
-        for r in parts.groupBy("pos").agg(F.sum(F.col("e") * F.col("v")).alias("g")).collect():  # one row a dimension
+        now = w.copy()
+
+        def run(batches: Iterator[pd.DataFrame], now: np.ndarray = now) -> Iterator[pd.DataFrame]:
+            g = np.zeros(dim)
+            for batch in batches:
+                if len(batch):
+                    x = np.stack(batch["x"].to_numpy()).astype(float)
+                    g += (1.0 / (1.0 + np.exp(-(x @ now))) - batch["y"].to_numpy()) @ x
+            yield pd.DataFrame({"pos": np.arange(dim), "g": g})
+
+        parts = rows.select("x", "y").mapInPandas(run, "pos int, g double")
+        for r in parts.groupBy("pos").agg(F.sum("g").alias("g")).collect():
             w[r["pos"]] -= rate * r["g"]
-    return w
+    return w.tolist()
 
 
 def predict(rows: DataFrame, w: list[float]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,5 +33,24 @@ def write(sorted_edges: DataFrame, index: DataFrame, path: str) -> None:
     index.write.mode("overwrite").partitionBy("part").parquet(f"{path}/index")
 
 
-def owner(vid: Column) -> Column:
-    return ids.part_of(vid)
+def owner(vid: Column, bounds: Sequence[int]) -> Column:
+    """The partition that owns a vertex by ranges: partition i holds ids from bounds[i] up to, not including, bounds[i + 1]."""
+    return F.aggregate(F.array(*[F.lit(b).cast("long") for b in bounds[1:-1]]) if len(bounds) > 2 else F.array().cast("array<long>"), F.lit(0), lambda n, b: n + (vid >= b).cast("int"))
+
+
+def equal_edge_bounds(edges: DataFrame, vertices: int, parts: int) -> list[int]:
+    """Bounds of ranges of consecutive vertices with about equal numbers of out-edges; only the bounds come to the driver.
+
+    A range begins at the first vertex before which there are at least its share of
+    the edges: a heavy vertex is not split.
+    """
+    total = edges.count()
+    degree = edges.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("d")).withColumn("all", F.lit(0))
+    before = graph.running(degree, "all", "v", "d", "before")
+    share = F.call_function("div", F.col("before") * parts, F.lit(max(total, 1)).cast("long"))
+    first = {r["part"]: r["v"] for r in before.groupBy(share.alias("part")).agg(F.min("v").alias("v")).collect()}
+    bounds = [0]
+    for i in range(1, parts):
+        later = [v for p, v in first.items() if p >= i]
+        bounds.append(max(bounds[-1], min(later, default=vertices)))
+    return [*bounds, vertices]

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -26,10 +30,15 @@ def local_session(cpus: int | None = None, shuffle_partitions: int = 8, memory:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder the session names for checkpoints; a local one only where none is named."""
+    """The folder the session names for checkpoints; a temporary one only where none is named and the master is local."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(folder)
     return jsc.getCheckpointDir().get()

@@ -49,9 +49,9 @@ def _hex_reversed(record: Column, at: int, size: int) -> Column:
     return F.concat(*[F.hex(F.substring(record, at + i, 1)) for i in reversed(range(size))])
 
 
-def read_binary_records(spark: SparkSession, path: str, fields: Sequence[tuple[str, str]]) -> DataFrame:
-    """Fixed-length records of a file or folder of files, split among tasks; bytes of each file must fill records."""
-    length = sum(FIELDS[kind][0] for _, kind in fields)
+def read_binary_records(spark: SparkSession, path: str, fields: Sequence[tuple[str, str]], pad: int = 0) -> DataFrame:
+    """Fixed-length records, and `pad` bytes behind each, of a file or folder of files, split among tasks; bytes of each file must fill records."""
+    length = sum(FIELDS[kind][0] for _, kind in fields) + pad
     raw = spark.createDataFrame(spark.sparkContext.binaryRecords(path, length).map(lambda r: (bytearray(r),)), T.StructType([T.StructField("record", T.BinaryType())]))
     return raw.select(*record_fields(F.col("record"), fields))
 
@@ -66,6 +66,20 @@ def pack_records(df: DataFrame, fields: Sequence[tuple[str, str]]) -> DataFrame:
     return df.select(F.unhex(F.concat(*parts)).alias("record"))
 
 
+#: What follows each record that `write_binary_records` writes.
+PAD = b"\n"
+
+
+def write_binary_records(df: DataFrame, path: str, fields: Sequence[tuple[str, str]], mode: str = "error") -> None:
+    """Packed records, each with a byte of padding behind it (the text sink's separator); read them with `pad=1`."""
+    pack_records(df, fields).select(F.expr("string(record)").alias("value")).write.mode(mode).text(path)
+
+
+def load_in_memory(spark: SparkSession, path: str) -> DataFrame:
+    """A persisted array held by the executors; what does not fit in memory goes to their disks, a lost part is read again."""
+    return load_array(spark, path).persist()
+
+
 def fixed_width(value: Column, width: int) -> Column:
     """UTF-8 bytes of a line cut to `width`, or filled up with zero bytes."""
     return F.rpad(F.substring(F.encode(value, "UTF-8"), 1, width), width, F.lit(b"\x00"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 # Multiplier and increment of the MMIX generator, and the built-in dictionary.
@@ -50,6 +53,20 @@ def lcg_doubles(spark: SparkSession, instances: int, n: int, low: float = 0.0, h
     return spark.range(instances * n).mapInArrow(run, "instance long, i long, v double")
 
 
+def generate(spark: SparkSession, fn: Callable[[int], Iterator[tuple]], schema: str, instances: int) -> DataFrame:
+    """Rows of a user's generator function, called once for each instance number, instances side by side."""
+    names = T.StructType.fromDDL(schema).names
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k in batch["id"]:
+                rows = fn(int(k))
+                while some := list(islice(rows, 10_000)):
+                    yield pd.DataFrame(some, columns=names)
+
+    return spark.range(0, instances, 1, instances).mapInPandas(run, schema)
+
+
 def random_word(key: Column, seed: int = 0, words: tuple[str, ...] | list[str] = DICTIONARY) -> Column:
     """A dictionary word for each key, about uniform: the high bits of a multiplicative hash."""
     mixed = ((key.cast("long") + 1) * F.lit(2654435761) + F.lit(seed * 40503)) % F.lit(1 << 32)

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tessera.operators import arrays, windows
 from tessera.plans import wordcount
+from tessera.sources import files
 from tessera.session import ensure_checkpoint_dir
 from tessera.streaming.pipeline import PCollection, Pipeline
 
@@ -29,10 +30,16 @@ def stream_of(spark: SparkSession, path: str, files_per_trigger: int = 8) -> Dat
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def run_to_end(spark: SparkSession, df: DataFrame, name: str, mode: str, sink: Callable[[DataFrame, int, str], None]) -> str:
-    """Runs over all available input; the sink writes each batch under the returned folder."""
+def run_to_end(spark: SparkSession, df: DataFrame, name: str, mode: str, sink: Callable[[DataFrame, int, str], None], every: str | None = None) -> str:
+    """Runs over all available input; the sink writes each batch under the returned folder.
+
+    With `every` the batches come at that interval, and the query is stopped once it has taken what is there.
+    """
     folder = work_folder(spark, name)
-    query = Pipeline(spark).run(PCollection(df), lambda batch, i: sink(batch, i, folder), f"{folder}/checkpoint", mode)
+    query = Pipeline(spark).run(PCollection(df), lambda batch, i: sink(batch, i, folder), f"{folder}/checkpoint", mode, every)
+    if every:
+        query.processAllAvailable()
+        query.stop()
     query.awaitTermination()
     return folder
 
@@ -55,22 +62,30 @@ def word_top_k(spark: SparkSession, path: str, k: int) -> DataFrame:
     return _last(spark, folder)
 
 
-def window_sums(spark: SparkSession, path: str, size_us: int) -> DataFrame:
-    """Sum and count of each window of a stream of events, end of stream included."""
+def window_sums(spark: SparkSession, path: str, size_us: int, every: str | None = None) -> DataFrame:
+    """Sum and count of each window of a stream of events, end of stream included; `every` bounds the latency of its batches."""
     events = stream_of(spark, path).withColumn("wnid", windows.fixed_window(windows.micros(F.col("ts")), size_us))
-    folder = run_to_end(spark, windows.sum_count(events), "sums", "complete", _replace)
+    folder = run_to_end(spark, windows.sum_count(events), "sums", "complete", _replace, every)
     return _last(spark, folder)
 
 
+def watched_words(spark: SparkSession, folder: str, files_per_trigger: int) -> DataFrame:
+    """Counts of the words of all files of a watched folder, some files a batch."""
+    counts = wordcount.counts(wordcount.words(files.watch_text(spark, folder, files_per_trigger)))
+    return _last(spark, run_to_end(spark, counts, "watch", "complete", _replace))
+
+
 SLOT_OUT = "wnid long, total double, n long"
 
 
 def slot_sums(arrivals: DataFrame, tasks: int = 1) -> DataFrame:
     """Windowed sums with state: one open window in each (task, slot), late rows dropped.
 
-    arrivals: wnid, value, arrival (the order within a batch) and tie.  Each batch
-    gives the windows it closed and the open ones so far; of a window's rows the one
-    with the greatest n is final.
+    arrivals: wnid, value, arrival (the order within a batch) and tie.  Rows of a later
+    batch arrive after all of those before, whatever their arrival number.  Each
+    batch gives the windows it closed and the open ones so far; of a window's rows
+    the one with the greatest n is final.  A (task, slot) is sorted in one task: give
+    as many tasks as windows allow, and batches that fit.
     """
 
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:

@@ -7,13 +7,17 @@ documents have it there (a document counts once for each distinct masked line);
 other tokens are variable fields too.  The line with its variable fields masked is
 its template.  A template of at least `min_docs` documents, constant in at least
 `constant_share` of its tokens, recurs: all its lines but the first (by document
-id, then place) are dropped.
+id, then place) are dropped.  A template holds its leaf's leading tokens, so it never spans two leaves.
 
 Defined results: a null text has no lines and stays null; lines under `min_tokens`
 tokens stay; text without dropped lines stays as it is; rows with equal ids count
-as one document, null ids too; columns of the result that exist already are
-replaced.  Only line keys and the lines of leaves with several documents move
-through aggregates, which combine before the shuffle; no leaf is gathered.
+as one document, null ids too, which comes first; of such rows each loses only
+lines of its own text, and equal rows the same lines; an empty table gives an
+empty one; a line or text of any length is taken whole; of equal lines in a
+document all but the first go; columns of the result that exist already are
+replaced, other columns may have any names.  Only line keys and the lines of
+leaves with several documents move through aggregates, which combine before the
+shuffle; no leaf is gathered.  Lines are told apart by 128 bits of hash in a leaf.
 """
 
 from __future__ import annotations
@@ -21,12 +25,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.frames import small
 from tessera.session import ensure_checkpoint_dir
 
 MIN_DOCS, MIN_TOKENS, LEADING, CONSTANT_SHARE = 3, 5, 3, 0.6
 FIELD = "<*>"
-#: Most leaves, or documents with dropped lines, that a join broadcasts; with more the texts are shuffled.
-BROADCAST_ROWS = 500_000
+KIND = ("leaf", "kind", "twin")
 
 
 def masked(line: Column) -> Column:
@@ -34,60 +38,60 @@ def masked(line: Column) -> Column:
     return F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", FIELD)).otherwise(line)
 
 
-def lines(docs: DataFrame, key: str, text: str, min_tokens: int, leading: int) -> DataFrame:
-    """doc, pos, leaf and masked line of each line with enough tokens."""
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"))
-    rows = rows.select("doc", "pos", F.trim("line").alias("line"))
-    tokens = F.length("line") - F.length(F.translate("line", " ", "")) + 1
-    rows = rows.withColumn("n", tokens).where(F.col("n") >= min_tokens).withColumn("line", masked(F.col("line")))
-    return rows.select("doc", "pos", F.xxhash64("n", F.substring_index("line", " ", leading)).alias("leaf"), "line")
+def occurrences(text: Column, letter: str) -> Column:
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(letter), F.lit("")))
 
 
-def small(df: DataFrame) -> DataFrame:
-    """The rows computed once, and broadcast if they are few; else left to a shuffled join."""
-    held = df.checkpoint()
-    return F.broadcast(held) if held.count() <= BROADCAST_ROWS else held
+def lines(docs: DataFrame, key: str, text: str, min_tokens: int, leading: int) -> DataFrame:
+    """doc, row (a hash of the text), pos, leaf and line, not yet masked, of each line with enough tokens."""
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.xxhash64(text).alias("row"), F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"))
+    rows = rows.select("doc", "row", "pos", F.trim("line").alias("line")).withColumn("n", occurrences(F.col("line"), " ") + 1).where(F.col("n") >= min_tokens)
+    # masking moves no token, so the leading tokens alone tell the leaf
+    return rows.select("doc", "row", "pos", F.xxhash64("n", masked(F.substring_index("line", " ", leading))).alias("leaf"), "line")
 
 
 def recurring(docs: DataFrame, text: str = "text", key: str = "doc_id", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, leading: int = LEADING, constant_share: float = CONSTANT_SHARE) -> DataFrame:
-    """doc and pos of each line to drop, with the hash of its template."""
+    """doc, row and pos of each line to drop, with its leaf and the hash of its template."""
     every = lines(docs, key, text, min_tokens, leading)
-    leaves = every.groupBy("leaf").agg(F.min(F.xxhash64("doc")).alias("d0"), F.max(F.xxhash64("doc")).alias("d1"), F.count("*").alias("c"))
-    leaves = leaves.where((F.col("d0") != F.col("d1")) & (F.col("c") >= min_docs)).select("leaf")
-    some = every.join(small(leaves), "leaf").withColumn("kind", F.xxhash64("line")).checkpoint()
+    leaves = every.groupBy("leaf").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.count("doc").alias("known"), F.count("*").alias("c"))
+    several = (F.col("d0") != F.col("d1")) | F.col("known").between(F.lit(1), F.col("c") - 1)
+    leaves = leaves.where(several & (F.col("c") >= min_docs)).select("leaf")
+    some = every.join(small(leaves), "leaf").withColumn("line", masked(F.col("line")))
+    some = some.withColumns({"kind": F.xxhash64("line"), "twin": F.xxhash64(F.lit(1), "line")}).checkpoint()
     # distinct masked lines, each with its number of documents; their tokens move without the line
-    kinds = some.select("leaf", "kind", F.xxhash64("doc").alias("d")).distinct().groupBy("leaf", "kind").agg(F.count("*").alias("docs"))
-    texts = some.groupBy("leaf", "kind").agg(F.min("line").alias("line"))
-    parts = kinds.join(texts, ["leaf", "kind"]).select("leaf", "kind", "docs", F.posexplode(F.split("line", " ")).alias("at", "token"))
+    kinds = some.select(*KIND, "doc").distinct().groupBy(*KIND).agg(F.count("*").alias("docs"))
+    texts = some.groupBy(*KIND).agg(F.min("line").alias("line"))
+    parts = kinds.join(texts, [*KIND]).select(*KIND, "docs", F.posexplode(F.split("line", " ")).alias("at", "token"))
     constant = parts.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("s")).where((F.col("s") >= min_docs) & (F.col("token") != FIELD)).select("leaf", "at", "token", F.lit(1).alias("constant"))
-    made = parts.join(constant, ["leaf", "at", "token"], "left").groupBy("leaf", "kind").agg(
+    made = parts.join(constant, ["leaf", "at", "token"], "left").groupBy(*KIND).agg(
         F.array_sort(F.collect_list(F.struct("at", F.when(F.col("constant") == 1, F.col("token")).otherwise(F.lit(FIELD)).alias("t")))).alias("ts"),
         F.count("constant").alias("constants"),
         F.count("*").alias("n"),
     )
-    made = made.where(F.col("constants") >= constant_share * F.col("n")).select("leaf", "kind", F.xxhash64(F.array_join(F.col("ts.t"), " ")).alias("template"))
-    placed = some.select("leaf", "kind", "doc", "pos").join(made, ["leaf", "kind"]).select("doc", "pos", "template")
-    seen = placed.groupBy("template").agg(F.min(F.struct("doc", "pos")).alias("first"))
-    wide = placed.select("template", F.xxhash64("doc").alias("d")).distinct().groupBy("template").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
-    return placed.join(seen.join(wide, "template"), "template").where(~F.struct("doc", "pos").eqNullSafe(F.col("first"))).select("doc", "pos", "template")
+    made = made.where(F.col("constants") >= constant_share * F.col("n")).select(*KIND, F.xxhash64(F.array_join(F.col("ts.t"), " ")).alias("template"))
+    placed = some.select(*KIND, "doc", "row", "pos").join(small(made, 64), [*KIND]).select("leaf", "template", "doc", "row", "pos")
+    seen = placed.groupBy("leaf", "template").agg(F.min(F.struct("doc", "row", "pos")).alias("first"))
+    wide = placed.select("leaf", "template", "doc").distinct().groupBy("leaf", "template").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
+    often = small(seen.join(wide, ["leaf", "template"]).select("leaf", "template", "first"), 64)
+    return placed.join(often, ["leaf", "template"]).where(~F.struct("doc", "row", "pos").eqNullSafe(F.col("first"))).select("doc", "row", "pos", "leaf", "template")
 
 
 def drop_recurring(docs: DataFrame, text: str = "text", key: str = "doc_id", **limits) -> DataFrame:
     """The documents with recurring lines dropped from the text, and n_lines and n_dropped."""
     ensure_checkpoint_dir(docs.sparkSession)
-    drops = recurring(docs, text, key, **limits).groupBy(F.xxhash64("doc").alias("__d")).agg(F.collect_set("pos").alias("__pos"))
-    rows = docs.drop("n_lines", "n_dropped").withColumn("__d", F.xxhash64(F.col(key)))
-    joined = rows.join(small(drops), "__d", "left")
-    parts = F.split(F.col(text), "\n")
-    n = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(parts))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__pos"))
-    short = F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n")
-    made = joined.withColumns({
-        "n_lines": n.cast("long"),
-        "n_dropped": F.when(F.col("__pos").isNull() | F.col(text).isNull(), F.lit(0)).otherwise(F.size(parts) - F.size(kept)).cast("long"),
-        text: F.when(F.col("__pos").isNull() | F.col(text).isNull(), F.col(text)).otherwise(short),
-    })
-    return made.select(*(c for c in docs.columns if c not in ("n_lines", "n_dropped")), "n_lines", "n_dropped")
+    drops = recurring(docs, text, key, **limits).groupBy("doc", "row").agg(F.collect_set("pos").alias("gone"))
+    drops = small(drops, F.size("gone").cast("long") * 4 + 48)
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    rows = docs.select(F.struct(*kept).alias("r"), F.col(text).alias("text"), F.col(key).alias("id"))
+    joined = rows.join(drops, F.col("id").eqNullSafe(F.col("doc")) & (F.xxhash64("text") == F.col("row")) & F.col("text").isNotNull(), "left")
+    joined = joined.select("r", "text", "gone", F.when(F.col("gone").isNotNull(), F.split("text", "\n")).alias("parts"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone"))
+    made = joined.select("r", "text", "gone", "parts", F.when(F.col("gone").isNotNull(), left).alias("left"))
+    short = F.array_join(F.transform("left", lambda i: F.get("parts", i)), "\n")
+    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(occurrences(F.col("text"), "\n") + 1).cast("long").alias("n_lines")
+    n_dropped = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("parts") - F.size("left")).cast("long").alias("n_dropped")
+    text_now = F.when(F.col("gone").isNull(), F.col("text")).otherwise(short).alias(text)
+    return made.select(*(text_now if c == text else F.col("r").getField(c).alias(c) for c in kept), n_lines, n_dropped)
 
 
 #: The query's rows in DuckDB SQL.

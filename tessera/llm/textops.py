@@ -53,6 +53,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+def forget() -> None:
+    """Drops the tables of powers."""
+    _powers.clear()
+
+
 class Rolling:
     """Polynomial hashes of any byte range of a buffer in constant time."""
 

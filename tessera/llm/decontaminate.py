@@ -33,11 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.frames import arrow_map
 from tessera.llm.textops import U64, Words, buffers, slices, whole_hash
 
 SHINGLE, SIMILARITY, BITS = 5, 0.8, 64
 BLOCK_BYTES = 16 << 20
 FILTER_BITS = 22
+#: Windows whose bit sums are formed at once.
+CHUNK = 4096
 
 
 def signs(hashes: np.ndarray) -> np.ndarray:
@@ -129,10 +132,15 @@ class Benchmark:
             np.add.at(edge, np.clip(where - width + 1, 0, last + 1), 1)
             np.add.at(edge, np.minimum(where, last) + 1, -1)
             first = np.flatnonzero(np.cumsum(edge)[: last + 1])
-            low, high = int(first[0]), int(first[-1]) + width
-            sums = np.zeros((high - low + 1, BITS), dtype=np.int32)
-            np.cumsum(signs(hashes[low:high]), axis=0, out=sums[1:])
-            windows = packed(fingerprint(sums[first - low + width] - sums[first - low]))
+            windows = np.empty(len(first), dtype=U64)
+            cuts = [0, *(np.flatnonzero(np.diff(first) > width) + 1).tolist(), len(first)]  # runs of windows that meet
+            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+                for at in range(a, z, CHUNK):
+                    some = first[at : min(at + CHUNK, z)]
+                    low, high = int(some[0]), int(some[-1]) + width
+                    sums = np.zeros((high - low + 1, BITS), dtype=np.int32)
+                    np.cumsum(signs(hashes[low:high]), axis=0, out=sums[1:])
+                    windows[at : at + len(some)] = packed(fingerprint(sums[some - low + width] - sums[some - low]))
             for i in items:
                 starts = first[(windows ^ self.bits[i]) & self.firm(i, width, similarity) == 0]
                 if not len(starts):
@@ -190,7 +198,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: Seq
                         arrays = [ids, pa.array([round(f[2], 6) for f in found], pa.float64()), pa.array([f[3] for f in found], pa.int64()), pa.array([f[4] for f in found], pa.int64())]
                         yield pa.RecordBatch.from_arrays([*(taken.column(i) for i in range(len(names))), *arrays], [*names, *(f.name for f in made.fields)])
 
-        return source.mapInArrow(run, schema)
+        return arrow_map(source, run, schema)
 
     parts = [against(items) for items in _blocks(benchmark, item, item_text, block_bytes)]
     return reduce(DataFrame.unionAll, parts) if parts else source.sparkSession.createDataFrame([], schema)
@@ -207,6 +215,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
                     hit = {r for r, *_ in bench.rows(batch.column(text), similarity)}
                     yield batch.take(pa.array([i for i in range(batch.num_rows) if i not in hit], pa.int64()))
 
-        return rows.mapInArrow(run, rows.schema)
+        return arrow_map(rows, run, rows.schema)
 
     return reduce(without, _blocks(benchmark, item, item_text, block_bytes), docs)

@@ -8,8 +8,11 @@ label a bounded sample (`TRAIN_ROWS`, chosen by a hash of the id) that trains a
 linear scorer on hashed word shapes; the scorer judges every whole document.
 
 Defined results: a null text is the empty text, and without words a document is
-rejected with score 0; repeated rows are judged alike; an empty table gives an
-empty result.
+rejected with score 0; repeated rows are judged alike, and no score depends on a
+row's neighbours; rows that tie at the edge of the training sample have one text, so
+any of them will do; an empty table gives an empty result; texts of any length are
+measured whole; only `keep` columns are carried, and the made ones win over kept
+ones of the same name.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.frames import arrow_map
 from tessera.llm.textops import U64, Words, buffers, mix64, slices
 
 #: Most rows that the linear scorer is fitted on, and its hashed features.
@@ -96,8 +100,8 @@ def shape_features(words: Words, raw: np.ndarray, n_rows: int, m: dict[str, np.n
         same = np.zeros(len(size), dtype=np.int64)
         same[1:] = (words.hash[1:] == words.hash[:-1]) & (words.row[1:] == words.row[:-1])
         n = np.maximum(words.count, 1).astype(np.float32)
-        for kind, code in ((1, shape), (2, shape[1:] * 131_071 + shape[:-1]), (3, same)):
-            row = words.row[len(words.row) - len(code) :]
+        pair = np.flatnonzero(words.row[1:] == words.row[:-1]) + 1  # second words of pairs, none across rows
+        for kind, code, row in ((1, shape, words.row), (2, shape[pair] * 131_071 + shape[pair - 1], words.row[pair]), (3, same, words.row)):
             bucket = (mix64((code.astype(U64) << U64(3)) + U64(kind)) % U64(FEATURES)).astype(np.int64)
             share = np.bincount(row * FEATURES + bucket, minlength=n_rows * FEATURES).reshape(n_rows, FEATURES) / n[:, None]
             out += np.sqrt(share).astype(np.float32)
@@ -156,7 +160,7 @@ class Scorer:
 
 
 def train(docs: DataFrame, text: str = "text", key: str = "doc_id", rows: int = TRAIN_ROWS) -> Scorer:
-    """Fits label model on all documents' votes and the scorer on at most about `rows` of them."""
+    """Fits label model on all documents' votes and the scorer on at most `rows` of them, those of the least hashes of id and text."""
 
     def cast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[int, int] = {}
@@ -167,12 +171,15 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id", rows: int =
                     counts[int(p)] = counts.get(int(p), 0) + int(c)
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["pattern", "n"])
 
-    source = docs.select(F.col(text).cast("binary").alias("__text"), F.xxhash64(F.lit("quality"), F.col(key)).alias("__pick"))
-    found = source.select("__text").mapInArrow(cast, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
+    source = docs.select(F.col(text).cast("binary").alias("__text"), F.struct(F.xxhash64(F.lit("quality"), F.col(key)).alias("id"), F.xxhash64(F.col(text)).alias("text")).alias("__pick"))
+    found = arrow_map(source.select("__text"), cast, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     posterior, rates = fit_labels({r["pattern"]: r["n"] for r in found})
-    last = source.select("__pick").orderBy("__pick").limit(rows).agg(F.max("__pick").alias("m")).first()["m"]
+    first = source.select("__pick").orderBy("__pick").limit(rows)
+    last = first.agg(F.max("__pick").alias("m")).first()["m"]
     if last is None:
         return Scorer(posterior, rates, np.zeros(FEATURES + 1))
+    edge = F.struct(F.lit(last["id"]).alias("id"), F.lit(last["text"]).alias("text"))
+    room = first.where(F.col("__pick") == edge).count()
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -183,7 +190,9 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id", rows: int =
                 arrays = [pa.array(votes(m)), pa.array([a.astype(np.int16).tobytes() for a in at], pa.binary()), pa.array([r[a].tobytes() for r, a in zip(x, at, strict=True)], pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, ["pattern", "at", "value"])
 
-    picked = source.where(F.col("__pick") <= last).select("__text").mapInArrow(sample, "pattern long, at binary, value binary").limit(rows).toArrow()
+    # the first rows by hash of id and text; rows that tie at the edge have one text, so any of them will do
+    chosen = source.where(F.col("__pick") < edge).unionAll(source.where(F.col("__pick") == edge).limit(room))
+    picked = arrow_map(chosen.select("__text"), sample, "pattern long, at binary, value binary").toArrow()
     x = np.zeros((picked.num_rows, FEATURES), dtype=np.float32)
     y = np.zeros(picked.num_rows)
     for i, (pattern, at, value) in enumerate(sorted(zip(*(picked.column(c).to_pylist() for c in picked.column_names), strict=True))):
@@ -218,4 +227,4 @@ def classify(docs: DataFrame, scorer: Scorer, text: str = "text", keep: Sequence
                 ]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *arrays], [*names, *(f.name for f in MADE.fields)])
 
-    return docs.select(*(docs[c] for c in names), docs[text].cast("binary").alias("__text")).mapInArrow(run, T.StructType([*fields, *MADE.fields]))
+    return arrow_map(docs.select(*(docs[c] for c in names), docs[text].cast("binary").alias("__text")), run, T.StructType([*fields, *MADE.fields]))

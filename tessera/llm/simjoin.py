@@ -7,20 +7,29 @@ n1 parts of 3 sub-parts each, with n1 * 2 > k: some part then holds at most one
 difference, and leaving out one of its sub-parts leaves equal projections.  So
 every (part, sub-part left out) gives a signature, and similar sets share one.
 
-Equal sets are one node.  Within the nodes that share a signature no list of all
-pairs is made: each node is checked against its nearest leader, then components
-are compared through parity sketches, whose Hamming distance never exceeds the
-sets' difference, so a pair that the sketches rule out cannot link.  What they
-leave between different components is verified on the sets themselves until no
-such pair is untested.  No link between components is lost; links inside a
-component are not listed.
-
-Hashes have 64 bits: that two of a billion different sets get one node has a
-chance of about 3 %, that two different shingles of one pair agree about 1e-13.
+Equal sets are one node.  A signature's rows are sorted and read as a stream: all
+but the first node name that one as their leader.  Signatures of very many nodes
+(found by a sample of the nodes, which decides nothing but where rows go) are
+dealt out by node as well, and the leaders of their parts are linked to the least.
+Within the nodes that share a signature no list of all pairs is made: each node is
+checked against its nearest leader, then components are compared through parity
+sketches, whose Hamming distance never exceeds the sets' difference, so a pair
+that the sketches rule out cannot link.  Only signatures that still hold several
+components are looked at, those with the same nodes once.  What the sketches leave
+between different components is verified on the sets themselves until no such pair
+is untested.  No link between components is lost; links inside a component are not
+listed.
+
+A set's name has 64 bits.  Names that two sets share are found by a second hash of
+64 bits and given anew, so sets are told apart by 128 bits; that two different
+shingles of one pair of sets agree has a chance of about 1e-13.
 
 Defined results: a null text, or one without words, has an empty set, linked with
 nothing; fewer words than a shingle make one shingle; repeated rows are equal
-sets; the component id is the smallest document id, null ids last.
+sets; the component id is the smallest document id, null ids last, so equal ids
+tie without harm; an empty table gives an empty result; texts of any length are
+taken whole; only the key and the text are read, so other columns may have any
+names, and the result has its own three.
 """
 
 from __future__ import annotations
@@ -33,6 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.frames import arrow_map, small
 from tessera.llm.textops import U64, Words, buffers, mix64, slices, whole_hash
 from tessera.session import ensure_checkpoint_dir
 
@@ -43,7 +53,12 @@ SELECTIVE = 0.85
 #: Least cells of a sketch.
 SKETCH_BITS = 1024
 #: Nodes of one signature that a task compares at once; more are compared block against block.
-BLOCK = 8192
+BLOCK = 4096
+#: One node in PROBE is a probe; a signature of PROBES of them or more is dealt out in SALTS parts.  The
+#: list of such signatures is cut to the HEAVY largest, which bounds it; the rest stay whole.
+PROBE, PROBES, SALTS, HEAVY = 64, 32, 64, 100_000
+#: Seed of the hash by which equal names of different sets are found.
+CHECK = 65535
 
 
 def shingle_sets(batch: pa.RecordBatch, n: int) -> list[np.ndarray]:
@@ -61,13 +76,28 @@ def shingle_sets(batch: pa.RecordBatch, n: int) -> list[np.ndarray]:
     return out
 
 
-def node_of(s: np.ndarray) -> int:
-    """One signed 64-bit name for a set."""
+def node_of(s: np.ndarray, seed: int = 0) -> int:
+    """A signed 64-bit hash of a set."""
     with np.errstate(over="ignore"):
-        x = np.array([mix64(s).sum(dtype=U64) ^ mix64(np.bitwise_xor.reduce(s) + U64(len(s)))], dtype=U64)
+        y = mix64(s + U64(seed) * U64(0x9E3779B97F4A7C15))
+        x = np.array([mix64(y).sum(dtype=U64) ^ mix64(np.bitwise_xor.reduce(y) + U64(len(s)))], dtype=U64)
     return int(mix64(x).view(np.int64)[0])
 
 
+class Names:
+    """Names of sets: the first hash that is no name of two sets.  Fewer first bits serve to test this."""
+
+    def __init__(self, shared: frozenset[int] = frozenset(), bits: int = 64):
+        self.shared, self.low = shared, 64 - bits
+
+    def __call__(self, s: np.ndarray) -> int:
+        name, seed = node_of(s) >> self.low, 0
+        while name in self.shared:
+            seed += 1
+            name = node_of(s, seed)
+        return name
+
+
 def sketch(s: np.ndarray) -> bytes:
     """Parity of the number of elements in each of its cells: a power of two, at least SKETCH_BITS and 4 an element."""
     bits = max(SKETCH_BITS, 1 << (4 * len(s) - 1).bit_length())
@@ -171,21 +201,28 @@ def signatures(sets: list[np.ndarray], p: int, q: int) -> list[np.ndarray]:
     return [out[first[i] : first[i + 1]][keep[first[i] : first[i + 1]]] for i in range(len(sets))]
 
 
-def _named(source: DataFrame, n: int) -> DataFrame:
-    """__key, node and n_shingles of each row; node is null for an empty set."""
+def _named(source: DataFrame, n: int, p: int, q: int, names: Names) -> DataFrame:
+    """__key, node, check (a second hash of the set), n_shingles and a probe's signatures; node is null for an empty set."""
+    columns = ["__key", "node", "check", "n_shingles", "probe"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "__text"):
                 sets = shingle_sets(batch, n)
-                arrays = [batch.column("__key"), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
-                yield pa.RecordBatch.from_arrays(arrays, ["__key", "node", "n_shingles"])
+                node = [names(s) if len(s) else None for s in sets]
+                check = [node_of(s, CHECK) if len(s) else None for s in sets]
+                probes = [i for i, x in enumerate(check) if x is not None and x % PROBE == 0]
+                probe: list[np.ndarray | None] = [None] * len(sets)
+                for i, found in zip(probes, signatures([sets[i] for i in probes], p, q), strict=True):
+                    probe[i] = found
+                made = [pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(probe, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column("__key"), *made], columns)
 
-    return source.mapInArrow(run, f"__key {source.schema['__key'].dataType.simpleString()}, node long, n_shingles long")
+    return arrow_map(source, run, f"__key {source.schema['__key'].dataType.simpleString()}, node long, check long, n_shingles long, probe array<long>")
 
 
-def _signed(source: DataFrame, n: int, p: int, q: int) -> DataFrame:
-    """node and its signatures; a task skips sets that it has just seen."""
+def _signed(source: DataFrame, n: int, p: int, q: int, names: Names, heavy: np.ndarray) -> DataFrame:
+    """Signatures (sig), a part and node; part is -1 but for the sorted `heavy` signatures.  A task skips sets that it has just seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -193,7 +230,7 @@ def _signed(source: DataFrame, n: int, p: int, q: int) -> DataFrame:
             for batch in slices(whole, "__text"):
                 fresh: dict[int, np.ndarray] = {}
                 for s in shingle_sets(batch, n):
-                    if len(s) and (node := node_of(s)) not in seen:
+                    if len(s) and (node := names(s)) not in seen:
                         fresh[node] = s
                         seen.add(node)
                 if len(seen) > 200_000:
@@ -201,22 +238,59 @@ def _signed(source: DataFrame, n: int, p: int, q: int) -> DataFrame:
                 found = signatures(list(fresh.values()), p, q)
                 count = [len(x) for x in found]
                 if sum(count):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.repeat(np.array(list(fresh), dtype=np.int64), count))], ["sig", "node"])
+                    sig, node = np.concatenate(found), np.repeat(np.array(list(fresh), dtype=np.int64), count)
+                    part = np.full(len(sig), -1, dtype=np.int8)
+                    if len(heavy):
+                        at = heavy[np.minimum(np.searchsorted(heavy, sig), len(heavy) - 1)] == sig
+                        part[at] = mix64(node[at].view(U64)) % U64(SALTS)
+                    yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(part), pa.array(node)], ["sig", "part", "node"])
+
+    return arrow_map(source, run, "sig long, part byte, node long")
 
-    return source.mapInArrow(run, "sig long, node long")
 
+def _shared(signed: DataFrame) -> DataFrame:
+    """sig, node and low, the least node of the signature's part, of each node that shares a signature."""
 
-def _held(source: DataFrame, n: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last row so far: signature, part, node, its group's least node, whether it is given out
+        for batch in batches:
+            sig, part, node = (batch.column(c).to_numpy() for c in ("sig", "part", "node"))
+            if held is not None:
+                sig, part, node = (np.concatenate(([h], x)).astype(x.dtype) for h, x in zip(held, (sig, part, node), strict=False))
+            if not len(sig):
+                continue
+            new = np.ones(len(sig), dtype=bool)
+            new[1:] = (sig[1:] != sig[:-1]) | (part[1:] != part[:-1])
+            fresh = new.copy()
+            fresh[1:] |= node[1:] != node[:-1]
+            sig, part, node, new = sig[fresh], part[fresh], node[fresh], new[fresh]
+            low = node[np.maximum.accumulate(np.where(new, np.arange(len(node)), 0))]
+            if held is not None:
+                first = int(np.argmax(np.append(new[1:], True))) + 1  # rows of the group that goes on
+                low[:first] = held[3]
+            good = ~new | (part >= 0)
+            good[:-1] |= ~new[1:]
+            if held is not None:
+                good[0] = (good[0] or held[3] != held[2]) and not held[4]
+            out = np.flatnonzero(good)
+            held = (sig[-1], part[-1], node[-1], low[-1], bool(good[-1]) or (len(sig) == 1 and held is not None and held[4]))
+            if len(out):
+                yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (sig, node, low)], ["sig", "node", "low"])
+
+    return arrow_map(signed.repartition("sig", "part").sortWithinPartitions("sig", "part", "node"), run, "sig long, node long, low long")
+
+
+def _held(source: DataFrame, n: int, names: Names) -> DataFrame:
     """node, size, its set and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "__text"):
                 sets = [s for s in shingle_sets(batch, n) if len(s)]
-                arrays = [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary())]
+                arrays = [pa.array([names(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, ["node", "size", "elements", "sketch"])
 
-    return source.mapInArrow(run, "node long, size long, elements binary, sketch binary")
+    return arrow_map(source, run, "node long, size long, elements binary, sketch binary")
 
 
 def _distance(pairs: DataFrame) -> DataFrame:
@@ -234,13 +308,15 @@ def _distance(pairs: DataFrame) -> DataFrame:
                 apart[at] = np.bitwise_count(both[: len(at)] ^ both[len(at) :]).sum(axis=1, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(apart)], [*names, "apart"])
 
-    return pairs.mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "apart"]))
+    return arrow_map(pairs, run, ", ".join(f"{c} long" for c in [*names, "apart"]))
 
 
 def _verified(pairs: DataFrame, held: DataFrame, p: int, q: int) -> DataFrame:
     """The pairs (a, b) with q * intersection >= p * union."""
-    x = pairs.select("a", "b").join(held.select(F.col("node").alias("a"), F.col("elements").alias("sa")), "a")
-    x = x.join(held.select(F.col("node").alias("b"), F.col("elements").alias("sb")), "b")
+    ends = small(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), 16)
+    few = held.join(ends, "node", "left_semi")  # sets of pairs alone are shuffled
+    x = pairs.select("a", "b").join(few.select(F.col("node").alias("a"), F.col("elements").alias("sa")), "a")
+    x = x.join(few.select(F.col("node").alias("b"), F.col("elements").alias("sb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,7 +333,7 @@ def _verified(pairs: DataFrame, held: DataFrame, p: int, q: int) -> DataFrame:
             if taken.num_rows:
                 yield taken
 
-    return x.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return arrow_map(x.select("a", "b", "sa", "sb"), run, "a long, b long")
 
 
 def connect(links: DataFrame, labels: DataFrame) -> DataFrame:
@@ -287,15 +363,22 @@ def connect(links: DataFrame, labels: DataFrame) -> DataFrame:
     return labels.join(moved, "comp", "left").select("node", F.coalesce("c", "comp").alias("comp")).checkpoint()
 
 
+def _unsettled(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """sig, node, comp and m, the number of nodes, of signatures with several components; of those with the same nodes one."""
+    rows = shared.select("sig", "node").join(labels, "node")
+    digest = [F.bit_xor(F.xxhash64(F.lit(seed), "node")).alias(f"x{seed}") for seed in (1, 2)]
+    mixed = rows.groupBy("sig").agg(F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), *digest).where("c0 <> c1")
+    return rows.join(mixed.groupBy("m", "x1", "x2").agg(F.min("sig").alias("sig")).select("sig", "m"), "sig").checkpoint()
+
+
 def _across(members: DataFrame, p: int, q: int, best: bool) -> DataFrame:
     """Pairs of different components under one signature that the sketches do not rule out.
 
-    members: sig, node, comp, size, sketch.  With `best`, a task gives the nearest
+    members: sig, node, comp, m, size, sketch.  With `best`, a task gives the nearest
     pair of each two components only.
     """
-    counted = members.groupBy("sig").agg(F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
     blocks = F.ceil(F.col("m") / BLOCK)
-    dealt = members.join(counted.select("sig", blocks.alias("nb")), "sig").withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")))
+    dealt = members.withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")))
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
     dealt = dealt.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "size", "sketch")
     dealt = dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
@@ -351,29 +434,42 @@ def _across(members: DataFrame, p: int, q: int, best: bool) -> DataFrame:
         if kept and (out := compare(kept)) is not None:
             yield out
 
-    pairs = dealt.mapInArrow(run, "a long, b long, ca long, cb long, apart long")
+    pairs = arrow_map(dealt, run, "a long, b long, ca long, cb long, apart long")
     if best:
         return pairs.groupBy("ca", "cb").agg(F.min(F.struct("apart", "a", "b")).alias("s")).select("s.a", "s.b")
     return pairs.select("a", "b").distinct()
 
 
-def components(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 5, p: int = 80, q: int = 100) -> DataFrame:
+def components(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 5, p: int = 80, q: int = 100, name_bits: int = 64) -> DataFrame:
     """key, n_shingles and component_id of each document, at Jaccard similarity of p / q or more."""
     ensure_checkpoint_dir(docs.sparkSession)
     source = docs.select(F.col(key).alias("__key"), F.col(text).cast("binary").alias("__text"))
-    named = _named(source, n).checkpoint()
-    signed = _signed(source.select("__text"), n, p, q)
-    over = "OVER (PARTITION BY sig)"
-    shared = signed.selectExpr("sig", "node", f"min(node) {over} AS low", f"max(node) {over} AS high").where("low <> high").dropDuplicates(["sig", "node"]).checkpoint()
+    names = Names(bits=name_bits)
+    while True:
+        named = _named(source, n, p, q, names).checkpoint()
+        twice = named.where("node is not null").groupBy("node").agg(F.min("check").alias("c0"), F.max("check").alias("c1")).where("c0 <> c1")
+        twice = frozenset(r["node"] for r in twice.select("node").collect())  # of N sets about N * N / 2**65
+        if not twice:
+            break
+        names = Names(names.shared | twice, name_bits)
+    probes = named.where("probe is not null").select("node", "probe").dropDuplicates(["node"]).select(F.explode("probe").alias("sig")).groupBy("sig").agg(F.count("*").alias("c"))
+    heavy = probes.where(F.col("c") >= PROBES).orderBy(F.desc("c"), "sig").limit(HEAVY).select("sig").collect()
+    heavy = np.sort(np.array([r["sig"] for r in heavy], dtype=np.int64))
+    shared = _shared(_signed(source.select("__text"), n, p, q, names, heavy)).checkpoint()
     # one document of each node that shares a signature, its text read again
-    wanted = shared.select("node").distinct()
-    chosen = named.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.xxhash64("__key")).alias("__pick")).select("__pick").distinct()
+    wanted = shared.select("node").distinct().checkpoint()
+    chosen = named.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.xxhash64("__key")).alias("__pick"))
+    chosen = small(chosen.select("__pick").distinct(), 16)
     texts = source.withColumn("__pick", F.xxhash64("__key")).join(chosen, "__pick", "left_semi").select("__text")
-    held = _held(texts, n).dropDuplicates(["node"]).join(wanted, "node", "left_semi").checkpoint()
+    held = _held(texts, n, names).join(wanted, "node", "left_semi").dropDuplicates(["node"]).checkpoint()
     light = held.select("node", "size", "sketch")
 
     # first links: each node with the nearest of its leaders
-    leaders = shared.select("node", F.explode(F.array("low", "high")).alias("leader")).where("node <> leader").distinct()
+    leaders = shared.where("node <> low").select("node", F.col("low").alias("leader")).distinct()
+    if len(heavy):  # parts of one signature: their leaders with the least of them
+        parts = shared.join(F.broadcast(docs.sparkSession.createDataFrame([(int(x),) for x in heavy], "sig long")), "sig").select("sig", "low").distinct()
+        least = parts.groupBy("sig").agg(F.min("low").alias("leader"))
+        leaders = leaders.unionAll(parts.join(least, "sig").where("low <> leader").select(F.col("low").alias("node"), "leader")).distinct()
     near = leaders.join(light.select("node", F.col("size").alias("na"), F.col("sketch").alias("sketch_a")), "node")
     near = _distance(near.join(light.select(F.col("node").alias("leader"), F.col("size").alias("nb"), F.col("sketch").alias("sketch_b")), "leader"))
     near = near.where((q + p) * F.col("apart") <= (q - p) * (F.col("na") + F.col("nb")))
@@ -382,12 +478,12 @@ def components(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int
     labels = connect(_verified(tested, held, p, q), wanted.withColumn("comp", F.col("node")))
 
     # then between components, the nearest pairs first, until none is untested
-    members = shared.select("sig", "node").join(light, "node")
     for best in (True, False):
-        pairs = _across(members.join(labels, "node"), p, q, best).join(tested, ["a", "b"], "left_anti").checkpoint()
+        members = _unsettled(shared, labels).join(light, "node")
+        pairs = _across(members, p, q, best).join(tested, ["a", "b"], "left_anti").checkpoint()
         labels = connect(_verified(pairs, held, p, q), labels)
         tested = tested.unionAll(pairs)
 
-    full = named.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    full = named.select("__key", "node", "n_shingles").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = full.where("comp is not null").groupBy("comp").agg(F.min("__key").alias("low"))
     return full.join(least, "comp", "left").select(F.col("__key").alias(key), "n_shingles", F.when(F.col("comp").isNull(), F.col("__key")).otherwise(F.col("low")).alias("component_id"))

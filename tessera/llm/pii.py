@@ -9,11 +9,15 @@ Where accepted spans overlap, the higher score stays, then the longer, then the
 earlier.
 
 Defined results: null text is the empty text (no spans); spans are code points,
-end exclusive; texts are searched whole; repeated rows give repeated results.
+end exclusive; texts of any length are searched whole, each generator and the base
+matchers in linear time; repeated rows give repeated results; an empty table gives
+an empty result; only `keep` columns are carried, and spans and redacted win over
+kept ones of the same name.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import random
 import re
@@ -27,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tessera.llm import boost
+from tessera.llm.frames import arrow_map
 from tessera.llm.textops import as_binary, slices
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -36,7 +41,8 @@ TRIGGER = re.compile(r"[0-9@]")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: Whole runs of digit groups between single dots; an ip is every four groups of one, in order.
+DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
@@ -70,9 +76,14 @@ def base_spans(text: str) -> list[Span]:
     if not TRIGGER.search(text):
         return []
     out = list(_emails(text))
-    for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split(".")):
-            out.append(("ip", m.start(), m.end()))
+    for m in DOTTED.finditer(text):
+        groups, at = m.group().split("."), m.start()
+        for i in range(0, len(groups) - 3, 4):
+            four = groups[i : i + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in four):
+                out.append(("ip", at, end))
+            at = end + 1
     for m in CARD.finditer(text):
         digits = m.group().replace(" ", "").replace("-", "")
         if 14 <= len(digits) <= 19 and luhn(digits):
@@ -191,6 +202,30 @@ def examples(n: int, seed: int) -> list[tuple[str, Span, int]]:
     return out
 
 
+class Taken:
+    """Places of a text covered by spans, as sorted runs that do not touch."""
+
+    def __init__(self, spans: Sequence[Span] = ()):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for _, a, b in sorted(spans, key=lambda s: s[1:]):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(b, self.ends[-1])
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def free(self, span: Span) -> bool:
+        i = bisect.bisect_right(self.ends, span[1])  # the first run that ends behind the span's start
+        return i == len(self.starts) or self.starts[i] >= span[2]
+
+    def add(self, span: Span) -> None:
+        """Covers a free span."""
+        i = bisect.bisect_right(self.ends, span[1])
+        self.starts.insert(i, span[1])
+        self.ends.insert(i, span[2])
+
+
 class Detector:
     """The trained model and each generator's threshold."""
 
@@ -212,14 +247,17 @@ class Detector:
             self.thresholds[kind] = max(0.5, float(scores[good[-1]])) if len(good) else 2.0
 
     def spans(self, text: str, base: Sequence[Span]) -> list[tuple[Span, float]]:
-        found = [s for s in candidates(text) if not any(s[1] < b[2] and b[1] < s[2] for b in base)]
+        taken = Taken(base)
+        found = [s for s in candidates(text) if taken.free(s)]
         if not found:
             return []
         p = self.model.probability(np.array([describe(text, s) for s in found], dtype=np.int64))
         ranked = sorted(((s, float(q)) for s, q in zip(found, p, strict=True) if q >= self.thresholds[s[0]]), key=lambda x: (-x[1], x[0][1] - x[0][2], x[0][1], x[0][0]))
         out: list[tuple[Span, float]] = []
+        taken = Taken()
         for s, q in ranked:
-            if not any(s[1] < o[2] and o[1] < s[2] for o, _ in out):
+            if taken.free(s):
+                taken.add(s)
                 out.append((s, q))
         return sorted(out, key=lambda x: (x[0][1], x[0][2]))
 
@@ -261,7 +299,7 @@ def find(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",),
                 arrays = [pa.array(rows, kind), *([pa.array(texts, pa.string())] if redact else [])]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *arrays], [*names, *made])
 
-    return docs.select(*(docs[c] for c in names), docs[text].cast("binary").alias("__text")).mapInArrow(run, schema)
+    return arrow_map(docs.select(*(docs[c] for c in names), docs[text].cast("binary").alias("__text")), run, schema)
 
 
 def written(spans: Sequence[Span]) -> str:

@@ -85,4 +85,39 @@ WITH item AS (
 SELECT doc_id, item_id, round(v, 6) AS similarity, s AS first_word, len AS n_words FROM best WHERE r = 1 AND v >= 0.8
 """
 
-ORACLE_SQL = {"op1_lines": LINES, "op2_suffix": SUFFIX, "op3_decontaminate": DECONTAMINATE, "op7_partenum": PARTENUM}
+MEDIA = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, strlen(coalesce(text, '')) AS n FROM documents),
+p AS (SELECT doc_id, n, CASE WHEN n = 0 THEN 192 ELSE (192 - n % 192) % 192 END AS pad, t FROM d)
+SELECT doc_id, n AS n_bytes, n + pad AS payload_bytes, sha256(t || repeat(' ', pad)) AS payload_sha256 FROM p
+"""
+
+
+def url_rules(rules) -> str:
+    """host, path and the longest fitting rule of each page."""
+    fits = " ".join(
+        f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}') THEN '{host}{path}'"
+        for host, path in sorted(((t[: t.index("/")], t[t.index("/") :]) for _, t in rules), key=lambda x: (-len(x[0] + x[1]), -len(x[0])))
+    )
+    lower = "translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+q AS (SELECT page_id, {lower} AS host, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM p)
+SELECT page_id, host, path, CASE {fits} END AS rule FROM q
+"""
+
+
+PII = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (
+  SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS email, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ip,
+    list_transform(regexp_extract_all(t, '[0-9]([ -]?[0-9])+'), lambda x: regexp_replace(x, '[ -]', '', 'g')) AS card,
+    list_transform(regexp_extract_all(t, '\+[0-9][ ().0-9-]+[0-9]'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS phone FROM d
+)
+SELECT doc_id, len(email)::BIGINT AS n_email,
+  len(list_filter(ip, lambda x: len(list_filter(string_split(x, '.'), lambda g: length(ltrim(g, '0')) > 3 OR coalesce(TRY_CAST(ltrim(g, '0') AS INTEGER), 0) > 255)) = 0))::BIGINT AS n_ip,
+  len(list_filter(card, lambda x: length(x) BETWEEN 14 AND 19 AND list_sum(list_transform(range(length(x)), lambda i:
+    CASE WHEN i % 2 = 1 THEN 2 * reverse(x)[i + 1]::INTEGER - CASE WHEN reverse(x)[i + 1]::INTEGER > 4 THEN 9 ELSE 0 END ELSE reverse(x)[i + 1]::INTEGER END)) % 10 = 0))::BIGINT AS n_card,
+  len(list_filter(phone, lambda x: length(x) BETWEEN 10 AND 15))::BIGINT AS n_phone FROM m
+"""
+
+ORACLE_SQL = {"op1_lines": LINES, "op2_suffix": SUFFIX, "op3_decontaminate": DECONTAMINATE, "op7_partenum": PARTENUM, "media_payloads": MEDIA, "pii_counts": PII}

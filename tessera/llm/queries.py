@@ -79,13 +79,29 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     of = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     counts = [of(k) for k in pii.BASE_KINDS]
-    return found.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+    whole = [F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans")]
+    return found.select("doc_id", *counts, *whole)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op8_webp that SQL can state."""
+    return op8_webp(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op9_urls that SQL can state."""
+    return op9_urls(spark, sf_dir).select("page_id", "host", "path", "rule")
+
+
+def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op10_pii that SQL can state."""
+    return op10_pii(spark, sf_dir).select("doc_id", *(f"n_{k}" for k in pii.BASE_KINDS))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lines": op1_lines,
     "op2_suffix": op2_suffix,
@@ -98,5 +114,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_urls": op9_urls,
     "op10_pii": op10_pii,
     "pipeline": pipeline,
+    "media_payloads": media_payloads,
+    "url_rules": url_rules,
+    "pii_counts": pii_counts,
 }
-ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL
+ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL | {"url_rules": oracles.url_rules(URL_RULES)}

@@ -199,7 +199,10 @@ def test_pii_held_out():
     p = model.model.probability(np.array([pii.describe(t, s) for t, s, _ in rows]))
     hit = np.array([q >= model.thresholds[s[0]] for q, (_, s, _) in zip(p, rows, strict=True)])
     truth = np.array([y for *_, y in rows], dtype=bool)
-    assert (hit & truth).sum() / hit.sum() >= 0.97 and (hit & truth).sum() / truth.sum() >= 0.8
+    assert (hit & truth).sum() / hit.sum() >= 0.97
+    for kind in pii.GENERATORS:  # recall of every generator's private data
+        own = np.array([s[0] == kind for _, s, _ in rows]) & truth
+        assert (hit & own).sum() >= 0.9 * own.sum() > 0, kind
 
 
 def test_boosting_learns_an_interaction():

@@ -37,17 +37,18 @@ def test_every_row_and_none(spark, name):
 def test_decontaminate_edges(spark):
     found = decontaminate.matches(cases.docs(spark), bench(spark))
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(5, 1), (6, 1), (7, 1), (8, 1), (None, 1), (4, 4)}
-    assert {r["doc_id"] for r in decontaminate.clean(cases.docs(spark), bench(spark)).collect()} == {0, 1, 2, 3, 9, 10, 11, 12}
+    assert {r["doc_id"] for r in decontaminate.clean(cases.docs(spark), bench(spark)).collect()} == {0, 1, 2, 3, 9, 10, 11, 12, 13, 14}
     assert decontaminate.matches(cases.docs(spark), bench(spark).limit(0)).collect() == []
     assert decontaminate.matches(cases.docs(spark), bench(spark), block_bytes=60).count() == found.count()  # several blocks
 
 
 def test_urls_edges(spark):
     rows = [(1, None), (2, ""), (3, "no scheme"), (4, "http://A.Example.ORG/es/x?q=1"), (5, "http://x.com/fr/"), (5, "http://x.com/fr/"), (6, "http://x.com"), (7, "h://" + "a" * 20000), (8, "http://org/\n?")]
-    pages = spark.createDataFrame([(*r, "c", "d") for r in rows], "page_id long, url string, suffix string, label string")
+    pages = spark.createDataFrame([(*r, *"cdefghij") for r in rows], "page_id long, url string, suffix string, label string, f_length string, __u string, host string, path string, rule string, verdict string")
     rules = (("allow", "org/"), ("block", "example.org/es/"), ("allow", "com/fr/"))
     out = urls.judge(pages, rules)
     got = {r["page_id"]: (r["host"], r["path"], r["rule"]) for r in out.collect()}
+    assert {(r["suffix"], r["label"], r["f_length"], r["__u"]) for r in out.collect()} == {tuple("cdef")}
     assert out.count() == len(rows)
     assert got[1] == got[2] == got[3] == ("", "", None)
     assert got[4] == ("a.example.org", "/es/x", "example.org/es/")

@@ -6,7 +6,8 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from tessera.llm import decontaminate, pii
+from tessera.llm import decontaminate, linededup, pii, quality, simjoin, suffix
+from tessera.llm.textops import Rolling
 
 
 def test_decontaminate_repeated_shingles(spark):
@@ -81,3 +82,85 @@ def test_near_copies_repeated_and_null_ids(spark):
     assert sum(r in ((None, d), (None, d + " end")) for r in got) == 1  # one of two null ids
     rest = collections.Counter(r for r in got if not (r[1] or "").startswith(d))
     assert rest == collections.Counter([(1, a), (2, b), (3, c), (4, ""), (4, ""), (None, None), (None, None)])
+
+
+def near_copies(rng, groups, size):
+    texts = []
+    for _ in range(groups):
+        base = [f"w{rng.randrange(9999)}" for _ in range(150)]
+        for _ in range(size):
+            some = list(base)
+            some[rng.randrange(150)] = f"e{rng.randrange(9999)}"
+            texts.append(" ".join(some))
+    return texts
+
+
+def test_components_with_colliding_names(spark):
+    """All sets share four first names: second hashes tell them apart."""
+    docs = spark.createDataFrame(list(enumerate(near_copies(random.Random(1), 12, 3))), "doc_id long, text string")
+    want = {tuple(r) for r in simjoin.components(docs).collect()}
+    assert {tuple(r) for r in simjoin.components(docs, name_bits=2).collect()} == want and len({c for *_, c in want}) == 12
+
+
+def test_components_of_frequent_signatures(spark, monkeypatch):
+    """Signatures dealt out in parts give the same links."""
+    docs = spark.createDataFrame(list(enumerate(near_copies(random.Random(2), 4, 30))), "doc_id long, text string")
+    want = {tuple(r) for r in simjoin.components(docs).collect()}
+    monkeypatch.setattr(simjoin, "PROBES", 1)
+    calls = []
+    signed = simjoin._signed
+    monkeypatch.setattr(simjoin, "_signed", lambda *a: (calls.append(len(a[-1])), signed(*a))[1])
+    assert {tuple(r) for r in simjoin.components(docs).collect()} == want and calls[0] > 0 and len({c for *_, c in want}) == 4
+
+
+def test_second_context_hash_where_the_first_collides():
+    """Thue-Morse strings agree in any polynomial hash modulo 2**64."""
+    word = np.array([bin(i).count("1") & 1 for i in range(4096)], dtype=np.uint8)
+    a, b = word + np.uint8(97), np.uint8(98) - word
+    ends = (np.array([0]), np.array([4096]))
+    assert Rolling(a).ranges(*ends) == Rolling(b).ranges(*ends)
+    rows = [suffix.anchors(x, np.array([0, 4096]), 4096, 48) for x in (a, b)]
+    assert all(len(r[0]) == 1 for r in rows) and rows[0][5][0] != rows[1][5][0]
+
+
+def test_suffix_frequent_anchors(spark, monkeypatch):
+    rng = random.Random(5)
+    passage = " ".join(f"w{rng.randrange(999)}" for _ in range(90))
+    texts = [f"{' '.join(f'w{rng.randrange(9999)}' for _ in range(30))} {passage}" for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    row = lambda r: (r["doc_id"], r["n_bytes"], bytes(r["kept"]))
+    want = set(map(row, suffix.repeats(docs).collect()))
+    monkeypatch.setattr(suffix, "PROBES", 1)
+    assert set(map(row, suffix.repeats(docs).collect())) == want and all(len(k) < n for _, n, k in want)
+
+
+def test_quality_sample_does_not_depend_on_partitions(spark):
+    texts = [(None if i % 3 else i, f"Some words of text number {i % 50} stand here. " * (1 + i % 5) + "!!! " * (i % 4)) for i in range(900)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    a, b = (quality.train(docs.repartition(n), rows=100) for n in (3, 7))
+    assert np.allclose(a.weights, b.weights) and a.posterior == b.posterior
+
+
+def test_lines_of_rows_with_one_id(spark):
+    """A recurring line goes from the rows that hold it, not from others with the same id."""
+    line = "the same long line stands here"
+    docs = spark.createDataFrame([(1, line), (2, line), (3, line), (3, "a line of its own here now"), (None, line), (None, "x\n" + line)], "doc_id long, text string")
+    got = collections.Counter((r["doc_id"], r["text"]) for r in linededup.drop_recurring(docs).collect())
+    # a null id comes first; its two rows count as one document
+    assert sum(n for (i, t), n in got.items() if t and line in t) == 1
+    assert got[3, "a line of its own here now"] == 1 and got[1, ""] == got[2, ""] == got[3, ""] == 1
+
+
+def test_decontaminate_memory_of_far_hits():
+    """One item at both ends of a long text: bit sums are formed for its windows only."""
+    import tracemalloc
+
+    rng = random.Random(7)
+    item = " ".join(f"w{rng.randrange(9999)}" for _ in range(60))
+    text = f"{item} {' '.join(f'v{i}' for i in range(200_000))} {item}"
+    bench = decontaminate.Benchmark([(0, item)])
+    tracemalloc.start()
+    found = bench.rows(decontaminate.pa.array([text]), 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(s, a) for _, _, s, a, _ in found] == [(1.0, 0)] and peak < 150e6

@@ -3,6 +3,12 @@
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and gives a
 DataFrame, which is written as Parquet and read again as the next one's docs.  All
 but the last return the columns of documents.
+
+In every stage a null text is a text without words, lines or bytes; texts are taken
+whole, whatever their length; rows are judged each on its own where they repeat,
+save for near copies, of which one row stays; an empty table gives an empty one;
+columns beyond those of documents are kept, but for the last stage.  Texts without
+words go in the first stage.
 """
 
 from __future__ import annotations
@@ -13,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, linededup, quality, simjoin
+from tessera.llm import bpe, decontaminate, frames, linededup, quality, simjoin
 from tessera.session import ensure_checkpoint_dir
 
 
@@ -37,9 +43,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     rows equal in both any one.  Rows without words are in no group and stay.
     """
     rows = docs.withColumn("__row", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text")))
-    gone = linededup.small(simjoin.components(rows, key="__row").where("__row <> component_id").select("__row").distinct())
+    gone = frames.small(simjoin.components(rows, key="__row").where("__row <> component_id").select("__row").distinct())
     equal = rows.where(F.col("text").rlike("[^\\x20\\x09-\\x0D]")).groupBy("__row").agg(F.count("*").alias("n")).where("n > 1").select("__row")
-    equal = linededup.small(equal)
+    equal = frames.small(equal)
     left = rows.join(gone, "__row", "left_anti")
     once = left.join(equal, "__row", "left_semi").dropDuplicates(["__row"])
     return left.join(equal, "__row", "left_anti").unionByName(once).select(docs.columns)
@@ -52,9 +58,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokens of each document, and the digest of their decoding."""
-    path = bpe.default_path()
-    encoded = bpe.encode(docs, path)
-    return bpe.decode(encoded, path, keep=("doc_id", "n_tokens", "ids")).select(
+    return bpe.round_trip(docs, bpe.default_path()).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
     )
 
@@ -75,8 +79,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir, each written to the shared folder and read again."""
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    path = None
     for i, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{i}-{name}"
+        before, path = path, f"{folder}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:  # no later stage reads it
+            gone = spark._jvm.org.apache.hadoop.fs.Path(before)
+            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
     return docs

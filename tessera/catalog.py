@@ -64,7 +64,8 @@ def text_lines_scan(spark, sf_dir):
 
 @query(f"WITH {WORDS} SELECT length(word) AS size, count(*) AS n, count(DISTINCT word) AS different FROM words GROUP BY 1")
 def split_words(spark, sf_dir):
-    return _words(spark, sf_dir).groupBy(F.length("word").cast("long").alias("size")).agg(F.count("*").alias("n"), F.countDistinct("word").alias("different"))
+    counts = wordcount.counts(_words(spark, sf_dir))  # words meet once, combined before the shuffle
+    return counts.groupBy(F.length("word").cast("long").alias("size")).agg(F.sum("n").alias("n"), F.count("*").alias("different"))
 
 
 @query(f"WITH {WORDS} SELECT word, count(*) AS n FROM words GROUP BY word")

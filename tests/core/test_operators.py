@@ -2,6 +2,7 @@
 
 import random
 import struct
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -168,3 +169,41 @@ def test_combine(spark):
     got = {r["k"]: (r["s"], r["n"]) for r in combine.combine_per_key(df, "k", "v", combine.SumCount(), "s double, n long", limit=3).collect()}
     assert got == {k: (float(sum(range(k, 500, 7))), len(range(k, 500, 7))) for k in range(7)}
     assert combine.combine_per_key(df.limit(0), "k", "v", combine.SumCount(), "s double, n long").count() == 0
+
+
+def test_slots_over_several_batches(spark, tmp_path):
+    """Rows of a later batch arrive after all of those before, whatever their arrival number."""
+    batches = [[(3, 1.0, 5), (0, 2.0, 4), (4, 1.0, 6)], [(3, 4.0, 1), (0, 8.0, 2), (6, 1.0, 9)], [(3, 16.0, 3), (6, 2.0, 0), (4, 5.0, 1)]]
+    folder = tmp_path / "in"
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, "wnid long, value double, arrival long").coalesce(1).write.mode("append").parquet(str(folder))
+        time.sleep(1.1 if i < 2 else 0)  # files are taken in the order of their times
+    want, held = {}, {}
+    for rows in batches:
+        for w, v, _ in sorted(rows, key=lambda r: r[2]):
+            if held.get(w % 3, -1) <= w:
+                held[w % 3] = w
+                t, n = want.get(w, (0.0, 0))
+                want[w] = (t + v, n + 1)
+    arrivals = jobs.stream_of(spark, str(folder), 1).withColumn("tie", F.col("arrival"))
+    assert {r["wnid"]: (r["total"], r["n"]) for r in jobs.stateful_window_sums(spark, arrivals).collect()} == want
+
+
+def test_fold_of_nothing_and_much(spark):
+    add, merge = (lambda a, r: a + r["id"]), (lambda a, b: a + b)
+    assert arrays.fold(spark.range(0), lambda: 0, add, merge) == 0
+    assert arrays.fold(spark.range(0, 1000, 1, 9), lambda: 0, add, merge, fan_in=2) == sum(range(1000))
+
+
+def test_windows_in_integers(spark):
+    big = (1 << 62) + 7
+    row = spark.range(1).select(windows.fixed_window(F.lit(big), 10).alias("a"), windows.fixed_window(F.lit(-1), 10).alias("b"), windows.fixed_window(F.lit(-10), 10).alias("c"), ids.whole(F.lit(big), 2).alias("d")).first()
+    assert tuple(row) == (big // 10, -1, -1, big // 2)
+
+
+def test_kmeans_beyond_expressions(spark, monkeypatch):
+    points = spark.createDataFrame([(i, [float(i % 5), float(i % 7)]) for i in range(60)], "id long, x array<double>")
+    want = (kmeans.assign(points, [[0.0, 0.0], [4.0, 6.0]]).orderBy("id").collect(), kmeans.cost(points, *kmeans.train(points, 3, 2)).first()[0])
+    monkeypatch.setattr(kmeans, "EXPRESSION_VALUES", 0)
+    assert kmeans.assign(points, [[0.0, 0.0], [4.0, 6.0]]).orderBy("id").collect() == want[0]
+    assert kmeans.cost(points, *kmeans.train(points, 3, 2)).first()[0] == pytest.approx(want[1])

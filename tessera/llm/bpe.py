@@ -9,7 +9,7 @@ prefix is encoded once.
 
 Defined results: null text is the empty text (no ids); texts of any length are
 encoded whole; repeated rows give repeated results; ties cannot occur, merges
-have one order.  Only `keep` columns are carried, and an output column wins
+have one order; an empty table gives an empty result.  Only `keep` columns are carried, and an output column wins
 over a kept one of the same name.
 """
 
@@ -28,6 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tessera.llm.frames import arrow_map
 from tessera.llm.textops import as_binary, slices
 
 #: White space as the split pattern has it, spelt out because libraries differ on the separators 1C to 1F.
@@ -35,9 +36,11 @@ WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT = rf" ?\p{{L}}+| ?\p{{N}}+|'s|'t|'re|'ve|'m|'ll|'d| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 #: White space, in the widest sense, and a space after it.
 AFTER_WHITE = re.compile(r"\s ")
-#: Encoded words that a Python worker keeps between rows and tasks; when full, those that several runs of rows held stay.
-CACHE_WORDS = 200_000
-#: Remembered seams and matcher steps of a Python worker.
+#: Encoded words that a task keeps between rows; when full, those that several runs of rows held stay.
+CACHE_WORDS = 150_000
+#: Bytes of text that are encoded at once.
+SLICE = 1 << 19
+#: Remembered seams of a task and matcher steps of a Python worker.
 CACHE_SEAMS, CACHE_STEPS = 250_000, 450_000
 
 
@@ -237,6 +240,11 @@ class Vocabulary:
             del known[c]
         return out
 
+    def rest(self) -> None:
+        """Drops what was kept between runs of rows."""
+        self.words, self.common = {}, set()
+        self.paired.clear()
+
     def decode(self, ids: bytes) -> str:
         """Text of little-endian ids; bytes that are no UTF-8 become U+FFFD, an unknown id nothing."""
         size, table = len(self.bytes), self.bytes
@@ -266,15 +274,16 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: Sequence[str] =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         for whole in batches:
-            for batch in slices(whole, "__text"):
+            for batch in slices(whole, "__text", SLICE):
                 texts = [(b or b"").decode("utf-8", "replace") for b in as_binary(batch.column("__text")).to_pylist()]
                 ids = v.encode_batch(texts)
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(i) for i in range(len(names))), pa.array(ids, pa.binary()), pa.array([len(b) // 4 for b in ids], pa.int64())],
                     [*names, "ids", "n_tokens"],
                 )
+        v.rest()
 
-    return source.mapInArrow(run, schema)
+    return arrow_map(source, run, schema)
 
 
 def round_trip(docs: DataFrame, path: str, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -287,12 +296,13 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", keep: Sequence[st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         for whole in batches:
-            for batch in slices(whole, "__text"):
+            for batch in slices(whole, "__text", SLICE):
                 ids = v.encode_batch([(b or b"").decode("utf-8", "replace") for b in as_binary(batch.column("__text")).to_pylist()])
                 made = [pa.array(ids, pa.binary()), pa.array([len(b) // 4 for b in ids], pa.int64()), pa.array(map(v.decode, ids), pa.string())]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *made], [*names, "ids", "n_tokens", "decoded"])
+        v.rest()
 
-    return source.mapInArrow(run, schema)
+    return arrow_map(source, run, schema)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -309,7 +319,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", keep: Sequence[str]
                 out = [v.decode(b or b"") for b in as_binary(batch.column("__ids")).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(out, pa.string())], [*names, "decoded"])
 
-    return source.mapInArrow(run, schema)
+    return arrow_map(source, run, schema)
 
 
 def default_path() -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,6 +16,9 @@ from tessera.llm import textops
 
 #: Most bytes of rows that a join broadcasts; larger sides are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
+GIVE_BACK_SECONDS = 0.5
+#: Arrow batches are cut by bytes, for texts may be long; a session's own setting stays.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def small(df: DataFrame, row_bytes: Column | int = 32) -> DataFrame:
@@ -25,9 +29,7 @@ def small(df: DataFrame, row_bytes: Column | int = 32) -> DataFrame:
 
 
 def give_back() -> None:
-    """Returns unused memory of this worker to the system: workers live on beside the next stage's."""
-    textops.forget()
-    gc.collect()
+    """Returns unused memory of this worker to the system."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -36,12 +38,24 @@ def give_back() -> None:
 
 
 def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """mapInArrow, with the memory of a finished task given back."""
+    """mapInArrow over batches of bounded size, with unused memory given back now and then and after a task.
+
+    Workers live on beside the next stage's, and so does what they keep.
+    """
+    if df.sparkSession.conf.get(BATCH_SETTING, None) is None:
+        df.sparkSession.conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = time.monotonic()
         try:
-            yield from run(batches)
+            for batch in run(batches):
+                yield batch
+                if time.monotonic() - last > GIVE_BACK_SECONDS:
+                    give_back()
+                    last = time.monotonic()
         finally:
+            textops.forget()
+            gc.collect()
             give_back()
 
     return df.mapInArrow(task, schema)

@@ -10,7 +10,10 @@ code point; any run of other characters is one boundary symbol.
 
 Defined results: a null text, or one without letters, is `und` with score 0; ties
 go to the language that sorts first; texts are profiled whole; without any
-labelled text every text is `und`.  Rows with a null language teach nothing.
+labelled text every text is `und`.  Rows with a null language teach nothing;
+repeated rows teach each time and are judged alike; an empty table gives an empty
+result; only `keep` columns are carried, and lang_pred and score win over kept ones
+of the same name.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.frames import arrow_map
 from tessera.llm.textops import as_binary, slices, stream64
 
 DIMENSIONS, LETTERS, SHARPNESS = 1024, 64, 20.0
@@ -106,7 +110,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", dimension
 
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("vector", T.ArrayType(T.DoubleType()))])
     source = labelled.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("binary").alias("text"))
-    parts = source.mapInArrow(run, schema).select("lang", F.posexplode("vector").alias("i", "x"))
+    parts = arrow_map(source, run, schema).select("lang", F.posexplode("vector").alias("i", "x"))
     sums: dict[str, np.ndarray] = {}
     for r in parts.groupBy("lang", "i").agg(F.sum("x").alias("x")).collect():  # languages times dimensions
         sums.setdefault(r["lang"], np.zeros(dimensions))[r["i"]] = r["x"]
@@ -140,7 +144,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
                         pred[i], score[i] = langs[b], round(q, 6)
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(pred), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
 
-    return docs.select(*(docs[c] for c in names), docs[text].cast("binary").alias("__text")).mapInArrow(run, schema)
+    return arrow_map(docs.select(*(docs[c] for c in names), docs[text].cast("binary").alias("__text")), run, schema)
 
 
 def held_out(doc_id: str = "doc_id"):

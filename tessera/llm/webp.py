@@ -2,16 +2,23 @@
 
 The decoder reads the whole lossless format: prefix codes, meta prefix groups,
 back-references with the neighbour distance map, colour cache, and the
-predictor, cross-colour, subtract-green and palette transforms.  Pixel streams
-whose codes each have one length and no back-references are decoded by whole
-arrays; anything else pixel by pixel.  Both take their codes from the stream.
-
-The encoder lays a payload as RGB rows and writes, for each channel, a prefix
-code of equal lengths over the byte values in use: lossless, smaller than the
-payload where texts use few byte values, and quick to decode.
+predictor, cross-colour, subtract-green and palette transforms.  Images with one
+prefix group and no cache are decoded by tables over all bit positions of a
+segment: the length of the pixel that would start there, which a walk then hops
+along, copying back-references as slices.  Others are read pixel by pixel.
+
+The encoder lays a payload as grey pixels, one a byte, and writes them as a palette
+(packed several to a pixel where it is small) or, where that is smaller by the
+entropy of the residuals, with the predictor and cross-colour transforms; repeats
+of eight pixels and more become back-references, and prefix codes have the lengths
+that the counts ask for.  The colour cache never shrinks an image of one channel,
+so the encoder does not use it.
 
 Defined results: null text is the empty text (one row of spaces); equal texts
-give equal files; texts of any length are stored whole (wider images).
+give equal files, repeated rows repeated results; texts of any length are stored
+whole (wider images, beyond 255 MB several frames); an empty table gives an empty
+result; only `keep` columns are carried, and a made column wins over a kept one of
+the same name; a null media value reads as nulls.
 """
 
 from __future__ import annotations
@@ -20,17 +27,23 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tessera.llm.textops import as_binary, slices
+from tessera.llm.frames import arrow_map
+from tessera.llm.textops import U64, as_binary, slices
 
 #: Order in which the lengths of the code-length code are stored (fixed values of the format).
 CODE_LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
-ROW_PIXELS, MAX_SIDE = 64, 16384
+ROW, MAX_SIDE = 192, 16384
+#: Repeats of fewer pixels are written out; longest back-reference and prefix code (of the format, of this encoder).
+LEAST_COPY, MOST_COPY, MOST_BITS = 8, 4096, 12
+#: Bytes of a stream that are tabled at once, and bits in which several literals are found at once.
+SEGMENT, HOP_BITS = 1 << 16, 11
 #: Short distances name neighbours, nearest first, by how far they lie to the side and then left before right.
 NEIGHBOURS = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), -p[0]))
 
@@ -53,100 +66,138 @@ class Bits:
         self.at = at + n
         return word >> (at & 7) & ((1 << n) - 1)
 
-    def array(self, n: int) -> np.ndarray:
-        """The next n bits, one to an element."""
-        if self.at + n > self.total:
-            raise ValueError("the stream ends early")
-        first = self.at >> 3
-        raw = np.frombuffer(self.data, np.uint8, count=((self.at + n + 7) >> 3) - first, offset=first)
-        out = np.unpackbits(raw, bitorder="little")[self.at & 7 :][:n]
+    def peek(self) -> int:
+        """The bits ahead, at least 57, with zeros beyond the end."""
+        return int.from_bytes(self.data[self.at >> 3 : (self.at >> 3) + 8], "little") >> (self.at & 7)
+
+    def skip(self, n: int) -> None:
         self.at += n
-        return out
+        if self.at > self.total:
+            raise ValueError("the stream ends early")
+
+
+@lru_cache(maxsize=16)
+def mirrored(width: int) -> np.ndarray:
+    """Each number of `width` bits with its bits in the opposite order."""
+    x = np.arange(1 << width)
+    out = np.zeros_like(x)
+    for i in range(width):
+        out = out << 1 | x >> i & 1
+    return out
 
 
 class Prefix:
-    """A canonical prefix code; `flat` is the one length of all its codes, or None."""
+    """A canonical prefix code, as a table over the next `width` bits: symbol << 4 | size of the code they begin with."""
 
-    def __init__(self, lengths: Sequence[int]):
-        given = np.asarray(lengths, dtype=np.uint8)
+    def __init__(self, lengths: bytes):
+        given = np.frombuffer(lengths, dtype=np.uint8)
         used = np.flatnonzero(given)
         if not len(used):
             raise ValueError("a prefix code without symbols")
-        sizes = given[used]
+        sizes = given[used] if len(used) > 1 else np.zeros(1, np.uint8)  # one symbol takes no bits
         by_size = np.argsort(sizes, kind="stable")
-        self.symbols, self.sizes = used[by_size], sizes[by_size]
-        self.single = int(used[0]) if len(used) == 1 else None
-        self.flat: int | None = 0 if len(used) == 1 else (int(self.sizes[0]) if self.sizes[0] == self.sizes[-1] else None)
-        if len(used) > 1 and int((np.int64(1) << (15 - self.sizes.astype(np.int64))).sum()) != 1 << 15:
+        symbols, sizes = used[by_size], sizes[by_size]
+        self.width = int(sizes[-1])
+        share = np.int64(1) << (self.width - sizes.astype(np.int64))
+        if int(share.sum()) != 1 << self.width:
             raise ValueError("a prefix code that is not complete")
-        self.codes: dict[tuple[int, int], int] = {}
-
-    def _assign(self) -> None:
-        code, before = 0, int(self.sizes[0])
-        for n, s in zip(self.sizes.tolist(), self.symbols.tolist(), strict=True):
-            code <<= n - before
-            self.codes[n, code] = s
-            code, before = code + 1, n
+        # codes of one size follow one another, the first bit read being the highest
+        self.table = np.repeat((symbols << 4 | sizes).astype(np.uint16), share)[mirrored(self.width)]
+        self.mask, self.only = (1 << self.width) - 1, int(symbols[0])
+        self.flat: list[int] | None = None
+        self.hop: tuple[np.ndarray, ...] | None = None
+
+    def listed(self) -> list[int]:
+        if self.flat is None:
+            self.flat = self.table.tolist()
+        return self.flat
+
+    def hops(self) -> tuple[np.ndarray, ...]:
+        """Over the next HOP_BITS bits: bits | count << 4 of the literals (up to three) that lie in them whole, and those literals.
+
+        0 where the first is none, or is longer than that.
+        """
+        if self.hop is None:
+            index = np.arange(1 << HOP_BITS)
+            one = self.table[index & self.mask].astype(np.int32)
+            spent, count, literals = np.zeros(len(index), np.int32), np.zeros(len(index), np.int32), []
+            open_ = np.ones(len(index), dtype=bool)
+            for _ in range(3):
+                found = one[index >> spent]
+                size = found & 15
+                open_ &= (found < 4096) & (spent + size <= HOP_BITS)
+                literals.append((found >> 4).astype(np.uint8))
+                spent += np.where(open_, size, 0)
+                count += open_
+            self.hop = ((spent | count << 4).astype(np.uint8), *literals)
+        return self.hop
 
     def read(self, bits: Bits) -> int:
-        if self.single is not None:
-            return self.single
-        if not self.codes:
-            self._assign()
-        code = 0
-        for n in range(1, 16):
-            code = code << 1 | bits.read(1)
-            symbol = self.codes.get((n, code))
-            if symbol is not None:
-                return symbol
-        raise ValueError("no such prefix code")
-
-    def read_flat(self, bits: Bits, count: int) -> np.ndarray:
-        """`count` symbols of a code of one length."""
-        n = self.flat
-        if not n:
-            return np.full(count, self.symbols[0])
-        grid = bits.array(n * count).reshape(count, n)
-        return self.symbols[np.packbits(grid, axis=1)[:, 0] >> (8 - n)]
+        if not self.width:
+            return self.only
+        found = int(self.table[bits.peek() & self.mask])
+        bits.skip(found & 15)
+        return found >> 4
+
+
+@lru_cache(maxsize=2048)
+def prefix(lengths: bytes) -> Prefix:
+    """The code of given lengths, zeros at the end left out; files of like texts share many."""
+    return Prefix(lengths)
 
 
 def read_prefix(bits: Bits, size: int) -> Prefix:
-    lengths = [0] * size
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
+        lengths = bytearray(256)
         lengths[bits.read(8 if wide else 1)] = 1
         if two:
             lengths[bits.read(8)] = 1
-        return Prefix(lengths)
-    first = [0] * 19
-    for s in CODE_LENGTH_ORDER[: 4 + bits.read(4)]:
-        first[s] = bits.read(3)
-    outer = Prefix(first)
+        return prefix(bytes(lengths).rstrip(b"\0"))
+    first = bytearray(19)
+    given = 4 + bits.read(4)
+    word = bits.read(3 * given)
+    for s in CODE_LENGTH_ORDER[:given]:
+        first[s] = word & 7
+        word >>= 3
+    outer = prefix(bytes(first).rstrip(b"\0"))
+    table, mask = outer.table.tolist(), outer.mask
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    if outer.flat is not None and max(outer.symbols) < 16:  # no repeats: the lengths are a plain array
-        return Prefix([*outer.read_flat(bits, min(left, size)).tolist(), *[0] * (size - min(left, size))])
-    at, before = 0, 8
-    while at < size and left:
+    start = bits.at
+    word = int.from_bytes(bits.data[start >> 3 : (start >> 3) + 2 + 2 * min(left, size)], "little") >> (start & 7)
+    lengths, before, spent = bytearray(), 8, 0
+    while len(lengths) < size and left:
         left -= 1
-        n = outer.read(bits)
+        found = table[word & mask]
+        n, step = found >> 4, found & 15
+        word >>= step
         if n < 16:
-            lengths[at] = n
-            at += 1
+            lengths.append(n)
             before = n or before
-            continue
-        value, repeat = {16: (before, 3), 17: (0, 3), 18: (0, 11)}[n][0], {16: 3, 17: 3, 18: 11}[n] + bits.read({16: 2, 17: 3, 18: 7}[n])
-        if at + repeat > size:
-            raise ValueError("code lengths run over the alphabet")
-        lengths[at : at + repeat] = [value] * repeat
-        at += repeat
-    return Prefix(lengths)
+        else:
+            extra = (2, 3, 7)[n - 16]
+            lengths += bytes((before if n == 16 else 0,)) * ((3, 3, 11)[n - 16] + (word & ((1 << extra) - 1)))
+            word >>= extra
+            step += extra
+        spent += step
+    if len(lengths) > size:
+        raise ValueError("code lengths run over the alphabet")
+    bits.skip(spent)
+    return prefix(bytes(lengths).rstrip(b"\0"))
+
 
+def _spelt(code: int, word: int) -> tuple[int, int]:
+    """A length's or distance's value, and the number of extra bits it takes from the word."""
+    if code < 4:
+        return code + 1, 0
+    extra = (code - 2) >> 1
+    return ((2 + (code & 1)) << extra) + (word & ((1 << extra) - 1)) + 1, extra
 
-def _extended(bits: Bits, prefix: int) -> int:
-    if prefix < 4:
-        return prefix + 1
-    extra = (prefix - 2) >> 1
-    return ((2 + (prefix & 1)) << extra) + bits.read(extra) + 1
+
+def _extended(bits: Bits, code: int) -> int:
+    value, extra = _spelt(code, bits.peek())
+    bits.skip(extra)
+    return value
 
 
 def _sub_size(side: int, bits: int) -> int:
@@ -166,8 +217,8 @@ def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     cache_size = (1 << cache_bits) if cache_bits else 0
     groups = [[read_prefix(bits, n) for n in (280 + cache_size, 256, 256, 256, 40)] for _ in range(count)]
     total = width * height
-    if count == 1 and not cache_size and all(c.flat is not None for c in groups[0][:4]) and max(groups[0][0].symbols) < 256:
-        return _flat_pixels(bits, groups[0], total)
+    if count == 1 and not cache_size:
+        return _walk(bits, width, groups[0], total)
     out: list[int] = []
     cache, kept = [0] * cache_size, 0
     shift = 32 - cache_bits
@@ -180,12 +231,7 @@ def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
             out.append(alpha << 24 | red << 16 | s << 8 | blue)
         elif s < 280:
             length = _extended(bits, s - 256)
-            far = _extended(bits, group[4].read(bits))
-            if far > 120:
-                far -= 120
-            else:
-                x, y = NEIGHBOURS[far - 1]
-                far = max(1, x + y * width)
+            far = _far(bits, group[4], width)
             if far > at or at + length > total:
                 raise ValueError("a back-reference leaves the image")
             for _ in range(length):
@@ -198,18 +244,146 @@ def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     return np.array(out, dtype=np.uint32)
 
 
-def _flat_pixels(bits: Bits, group: list[Prefix], total: int) -> np.ndarray:
-    sizes = [c.flat or 0 for c in group[:4]]
-    step = sum(sizes)
-    grid = bits.array(step * total).reshape(total, step)
-    parts, at = [], 0
-    for code, n in zip(group[:4], sizes, strict=True):
-        # the bits of a code, most significant first, as the high bits of one byte
-        index = np.packbits(grid[:, at : at + n], axis=1)[:, 0] >> (8 - n) if n else np.zeros(total, np.uint8)
-        parts.append(code.symbols.astype(np.uint32)[index])
-        at += n
-    green, red, blue, alpha = parts
-    return alpha << 24 | red << 16 | green << 8 | blue
+def _pixels_back(far: int, width: int) -> int:
+    """A distance in pixels: short ones name neighbours."""
+    if far > 120:
+        return far - 120
+    x, y = NEIGHBOURS[far - 1]
+    return max(1, x + y * width)
+
+
+def _far(bits: Bits, code: Prefix, width: int) -> int:
+    """How many pixels back a reference goes."""
+    return _pixels_back(_extended(bits, code.read(bits)), width)
+
+
+def _walk(bits: Bits, width: int, group: list[Prefix], total: int) -> np.ndarray:
+    """Pixels of one prefix group without a cache."""
+    green, *others = group[:4]
+    if any(c.width for c in others):
+        return _walk_pixels(bits, width, group, total)
+    red, blue, alpha = (c.only for c in others)
+    rest = np.uint32(alpha << 24 | red << 16 | blue)
+    if not green.width:
+        if green.only >= 256:
+            raise ValueError("a back-reference leaves the image")
+        return np.full(total, rest | np.uint32(green.only << 8), dtype=np.uint32)
+    return _walk_green(bits, width, green, group[4], total).astype(np.uint32) << np.uint32(8) | rest
+
+
+def _walk_green(bits: Bits, width: int, green: Prefix, distance: Prefix, total: int) -> np.ndarray:
+    """The green values of pixels whose other channels are constant: a walk from literals to literals over tabled bit positions."""
+    out, done = np.empty(total, dtype=np.uint8), 0
+    step, *literals = green.hops()
+    single, apart = green.listed(), distance.listed()
+    while done < total:
+        base = bits.at >> 3
+        raw = np.frombuffer(bits.data[base : base + SEGMENT + 32] + bytes(64), np.uint8).astype(np.uint32)
+        three = raw[:-2] | raw[1:-1] << np.uint32(8) | raw[2:] << np.uint32(16)
+        window = (three[:, None] >> np.arange(8, dtype=np.uint32)).astype(np.uint16).reshape(-1)
+        limit = 8 * min(SEGMENT, len(raw) - 48)
+        hops = step[window & np.uint16((1 << HOP_BITS) - 1)].tobytes()
+        at, starts, runs, begun, room = bits.at & 7, [], [], done, total - done
+        add = starts.append
+        while room:
+            before = room
+            if at < limit:
+                while room > 2:
+                    n = hops[at]
+                    if not n or at >= limit:
+                        break
+                    add(at)
+                    at += n & 15
+                    room -= n >> 4
+            if at >= limit or not room:
+                runs.append((before - room, 0, 0))
+                break
+            found = single[int(window[at]) & green.mask]
+            if found < 4096:  # one literal
+                add(~at)
+                at += found & 15
+                room -= 1
+                runs.append((before - room, 0, 0))
+                continue
+            # length and distance: at most 43 bits after the length's code
+            after = 8 * base + at + (found & 15)
+            word = int.from_bytes(bits.data[after >> 3 : (after >> 3) + 8], "little") >> (after & 7)
+            length, extra = _spelt((found >> 4) - 256, word)
+            code = apart[word >> extra & distance.mask]
+            spent = extra + (code & 15)
+            far, extra = _spelt(code >> 4, word >> spent)
+            far = _pixels_back(far, width)
+            to = total - room
+            if far > to or length > room:
+                raise ValueError("a back-reference leaves the image")
+            runs.append((before - room, length, far))
+            room -= length
+            at = after + spent + extra - 8 * base
+        done = total - room
+        bits.at = 8 * base + at
+        if bits.at > bits.total:
+            raise ValueError("the stream ends early")
+        known = np.array(starts, dtype=np.int64)
+        many = known >= 0
+        code = window[np.where(many, known, ~known)]
+        index = code & np.uint16((1 << HOP_BITS) - 1)
+        count = np.where(many, step[index] >> np.uint8(4), 1)
+        end = np.cumsum(count)
+        place = end - count
+        found = np.empty(int(end[-1]) if len(end) else 0, dtype=np.uint8)
+        found[place] = literals[0][index]
+        lone = np.flatnonzero(~many)
+        found[place[lone]] = green.table[code[lone] & np.uint16(green.mask)] >> np.uint16(4)
+        for k in (1, 2):
+            some = np.flatnonzero(count > k)
+            found[place[some] + k] = literals[k][index[some]]
+        to, taken = begun, 0
+        for literal, length, far in runs:
+            out[to : to + literal] = found[taken : taken + literal]
+            to, taken = to + literal, taken + literal
+            if far >= length:
+                out[to : to + length] = out[to - far : to - far + length]
+            else:
+                out[to : to + length] = np.resize(out[to - far : to], length)
+            to += length
+    return out
+
+
+def _walk_pixels(bits: Bits, width: int, group: list[Prefix], total: int) -> np.ndarray:
+    """Pixels read channel by channel."""
+    (g, gm), (r, rm), (b, bm), (a, am) = ((c.listed(), c.mask) for c in group[:4])
+    out: list[int] = []
+    word, left = 0, 0  # bits read ahead
+    while len(out) < total:
+        if left < 60:
+            bits.at -= left
+            word, left = int.from_bytes(bits.data[bits.at >> 3 : (bits.at >> 3) + 40], "little") >> (bits.at & 7), 312
+            bits.at += left
+        found = g[word & gm]
+        n = found & 15
+        if found >= 4096:
+            bits.at += n - left
+            length = _extended(bits, (found >> 4) - 256)
+            far = _far(bits, group[4], width)
+            if far > len(out) or len(out) + length > total:
+                raise ValueError("a back-reference leaves the image")
+            for _ in range(length):
+                out.append(out[-far])
+            left = 0
+            continue
+        x = r[word >> n & rm]
+        n += x & 15
+        y = b[word >> n & bm]
+        n += y & 15
+        z = a[word >> n & am]
+        n += z & 15
+        out.append(z >> 4 << 24 | x >> 4 << 16 | found >> 4 << 8 | y >> 4)
+        word >>= n
+        left -= n
+    bits.at -= left
+    if bits.at > bits.total:
+        raise ValueError("the stream ends early")
+    return np.array(out, dtype=np.uint32)
 
 
 def _signed(v: int) -> int:
@@ -258,6 +432,17 @@ def predict(mode: int, left: int, top: int, right: int, corner: int) -> int:
 
 
 def undo_predictor(pixels: np.ndarray, width: int, height: int, bits: int, modes: np.ndarray) -> np.ndarray:
+    mode = modes >> 8 & 15
+    if len(mode) and mode.min() == mode.max() and mode[0] in (1, 2):  # running sums along rows or columns
+        grid = pixels.astype("<u4").view(np.uint8).reshape(height, width, 4).copy()
+        grid[0, 0, 3] = (int(grid[0, 0, 3]) + 255) & 255
+        if mode[0] == 1:
+            grid[:, 0] = np.cumsum(grid[:, 0], axis=0, dtype=np.uint8)
+            grid = np.cumsum(grid, axis=1, dtype=np.uint8)
+        else:
+            grid[0] = np.cumsum(grid[0], axis=0, dtype=np.uint8)
+            grid = np.cumsum(grid, axis=0, dtype=np.uint8)
+        return np.ascontiguousarray(grid).view("<u4").reshape(-1).astype(np.uint32)
     out, across = pixels.tolist(), _sub_size(width, bits)
     add = lambda a, b: ((a & 0xFF00FF00) + (b & 0xFF00FF00) & 0xFF00FF00) | ((a & 0x00FF00FF) + (b & 0x00FF00FF) & 0x00FF00FF)
     for at in range(width * height):
@@ -335,7 +520,7 @@ def decode_vp8l(data: bytes) -> np.ndarray:
     pixels = read_image(bits, across, height, True)
     for f, args in reversed(undo):
         pixels = f(pixels, *args)
-    return np.stack([(pixels >> s & 255).astype(np.uint8) for s in (16, 8, 0, 24)], axis=-1).reshape(height, width, 4)
+    return pixels.astype("<u4", copy=False).view(np.uint8).reshape(height, width, 4)[:, :, [2, 1, 0, 3]]
 
 
 def chunks(data: bytes) -> Iterator[tuple[bytes, bytes]]:
@@ -368,102 +553,317 @@ class BitWriter:
         return np.unpackbits(raw, bitorder="little")[: self.size]
 
 
-def _put_flat(out: BitWriter, symbols: np.ndarray, size: int) -> int:
-    """Writes a prefix code of equal lengths over `symbols` (a power of two of them); returns the length."""
-    n = len(symbols).bit_length() - 1
-    if n <= 1:
-        out.put(1 | n << 1 | 1 << 2, 3)
-        for s in symbols.tolist():
-            out.put(s, 8)
-        return n
-    used = np.zeros(size, dtype=np.uint8)
-    used[symbols] = 1
-    out.put(0, 1)
-    both = int(used.min() == 0)
-    last = max(CODE_LENGTH_ORDER.index(n), CODE_LENGTH_ORDER.index(0) if both else 0) + 1
-    out.put(max(last, 4) - 4, 4)
-    for s in CODE_LENGTH_ORDER[: max(last, 4)]:
-        out.put(int(s == n or both and s == 0), 3)
+def code_lengths(counts: Sequence[int], most: int) -> list[int]:
+    """Lengths of a complete prefix code, at most `most`, near the counts' information; 0 for symbols of no count."""
+    out = [0] * len(counts)
+    used = sorted(((-c, s) for s, c in enumerate(counts) if c))
+    if len(used) < 2:
+        for _, s in used:
+            out[s] = 1
+        return out
+    total = -sum(c for c, _ in used)
+    # the least n of at least 1 with count * 2**n >= total
+    length = [min(most, max(1, (-(total // c) - 1).bit_length() if total % c == 0 else (total // -c).bit_length())) for c, _ in used]
+    room = (1 << most) - sum(1 << (most - n) for n in length)
+    at = len(length) - 1
+    while room < 0:  # the limit has made codes too short: lengthen the rarest that can be
+        while length[at] >= most:
+            at -= 1
+        length[at] += 1
+        room += 1 << (most - length[at])
+    while room:  # shorten the commonest that can be
+        for i, n in enumerate(length):
+            gain = 1 << (most - n)
+            if gain <= room and n > 1:
+                length[i] = n - 1
+                room -= gain
+                if not room:
+                    break
+    for (_, s), n in zip(used, length, strict=True):
+        out[s] = n
+    return out
+
+
+@lru_cache(maxsize=16)
+def mirror_list(width: int) -> list[int]:
+    return mirrored(width).tolist()
+
+
+def codes_of(lengths: Sequence[int]) -> list[int]:
+    """Canonical codes, as they are written: the first bit lowest."""
+    out = [0] * len(lengths)
+    order = sorted((n, s) for s, n in enumerate(lengths) if n)
+    top = order[-1][0]
+    mirror, code = mirror_list(top), 0
+    for n, s in order:
+        out[s] = mirror[code]
+        code += 1 << (top - n)
+    return out
+
+
+def _put_code(out: BitWriter, counts: np.ndarray, times: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Writes a prefix code for counted symbols, `times` over; returns each symbol's written code and its number of bits."""
+    used = np.flatnonzero(counts)
+    if len(used) <= 2 and (not len(used) or used[-1] < 256):
+        few = used.tolist() or [0]
+        codes, sizes = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
+        for i, s in enumerate(few):
+            codes[s], sizes[s] = i, len(few) - 1
+        for _ in range(times):
+            out.put(1 | (len(few) - 1) << 1 | 1 << 2, 3)
+            for s in few:
+                out.put(s, 8)
+        return codes, sizes
+    lengths = code_lengths(counts[: used[-1] + 1].tolist(), MOST_BITS)
+    tokens, kinds, rest = [], [0] * 19, 0
+    for n in lengths:
+        if not n:
+            rest += 1
+            continue
+        while rest >= 3:
+            run = min(rest, 138)
+            tokens.append((18, run - 11, 7) if run >= 11 else (17, run - 3, 3))
+            kinds[tokens[-1][0]] += 1
+            rest -= run
+        for _ in range(rest):
+            tokens.append((0, 0, 0))
+            kinds[0] += 1
+        rest = 0
+        tokens.append((n, 0, 0))
+        kinds[n] += 1
+    outer = code_lengths(kinds, 7)
+    code = codes_of(outer)
+    size = outer if sum(map(bool, kinds)) > 1 else [0] * 19
+    own = BitWriter()
+    own.put(0, 1)
+    wanted = max(4, 1 + max(i for i, s in enumerate(CODE_LENGTH_ORDER) if outer[s]))
+    own.put(wanted - 4, 4)
+    for s in CODE_LENGTH_ORDER[:wanted]:
+        own.put(outer[s], 3)
+    # how many lengths are written; the others are 0
+    many = len(tokens)
+    room = next(k for k in range(8) if many - 2 < 1 << (2 + 2 * k))
+    own.put(1 | room << 1 | (many - 2) << 4, 6 + 2 * room)
+    value, at = own.value, own.size
+    for n, extra, bits in tokens:
+        value |= (code[n] | extra << size[n]) << at
+        at += size[n] + bits
+    for _ in range(times):
+        out.put(value, at)
+    codes, sizes = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
+    codes[: len(lengths)] = codes_of(lengths)
+    if len(used) > 1:
+        sizes[: len(lengths)] = lengths
+    return codes, sizes
+
+
+def _prefixed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix symbol, extra bits and their number of lengths or distances."""
+    x = values - 1
+    high = np.frexp(np.maximum(x, 1).astype(np.float64))[1] - 1
+    extra = np.where(x < 4, 0, high - 1)
+    return np.where(x < 4, x, 2 * high + (x >> np.maximum(high - 1, 0) & 1)), x & ((np.int64(1) << extra) - 1), extra
+
+
+def copies(pixels: np.ndarray) -> np.ndarray:
+    """Back-references (place, length, distance): runs that repeat what stands at the latest place with the same eight pixels."""
+    if len(pixels) <= LEAST_COPY:
+        return np.zeros((0, 3), np.int64)
+    x = pixels.astype(U64)
+    for wide in (1, 2, 4):
+        x = x[:-wide] | x[wide:] << U64(8 * wide)
+    order = np.argsort(x, kind="stable")
+    ranked = x[order]
+    twin = np.flatnonzero(ranked[1:] == ranked[:-1])
+    if not len(twin):
+        return np.zeros((0, 3), np.int64)
+    far = np.zeros(len(x), dtype=np.int64)
+    far[order[twin + 1]] = order[twin + 1] - order[twin]
+    edge = np.flatnonzero(np.diff(far, prepend=0, append=0))  # runs of one distance
+    runs = np.flatnonzero(far[edge[:-1]])
+    out, done = [], 0
+    for a, z, d in zip(edge[runs].tolist(), edge[runs + 1].tolist(), far[edge[runs]].tolist(), strict=True):
+        end = z - 1 + LEAST_COPY
+        at = max(a, done)
+        if end - at < LEAST_COPY:
+            continue
+        while end - at >= LEAST_COPY:
+            n = min(end - at, MOST_COPY)
+            out.append((at, n, d))
+            at += n
+        done = at
+    return np.array(out, dtype=np.int64).reshape(-1, 3)
+
+
+def _joined(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Fields of 1 to 31 bits one after another, as 32-bit words."""
+    values, sizes = values[sizes > 0], sizes[sizes > 0]
+    if not len(values):
+        return np.zeros(0, np.uint32)
+    start = np.cumsum(sizes) - sizes
+    placed = values.astype(U64) << (start & 31).astype(U64)
+    word = start >> 5
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    sums = np.add.reduceat(placed, first)
+    out = np.zeros(int(word[-1]) + 2, dtype=U64)
+    out[word[first]] = sums & U64(0xFFFFFFFF)
+    out[word[first] + 1] |= sums >> U64(32)
+    return out.astype("<u4")
+
+
+def _put_pixels(out: BitWriter, green: np.ndarray, others: Sequence[int], main: bool) -> np.ndarray:
+    """Writes the codes of an image whose red, blue and alpha are constant; returns its pixels' bits as words."""
+    found = copies(green)
+    edge = np.zeros(len(green) + 1, dtype=np.int32)
+    edge[found[:, 0]] += 1
+    edge[found[:, 0] + found[:, 1]] -= 1
+    place = np.flatnonzero(np.cumsum(edge[:-1]) == 0)
+    length, length_extra, length_bits = _prefixed(found[:, 1])
+    far, far_extra, far_bits = _prefixed(found[:, 2] + 120)
+    literal = green[place].astype(np.int64)
+    out.put(0, 2 if main else 1)  # no cache, one prefix group
+    counts = np.bincount(literal, minlength=280)
+    counts[256:] = np.bincount(length, minlength=24)
+    code, size = _put_code(out, counts)
+    for value in others:
+        out.put(1 | 1 << 2 | value << 3, 11)
+    far_code, far_size = _put_code(out, np.bincount(far, minlength=40))
+    where = np.repeat(np.searchsorted(place, found[:, 0]), 4)
+    more = np.stack([code[256 + length], length_extra, far_code[far], far_extra], axis=1).reshape(-1)
+    more_bits = np.stack([size[256 + length], length_bits, far_size[far], far_bits], axis=1).reshape(-1)
+    return _joined(np.insert(code[literal], where, more), np.insert(size[literal], where, more_bits))
+
+
+def _inline(out: BitWriter, words: np.ndarray, used: int) -> None:
+    out.put(int.from_bytes(words.tobytes(), "little") & ((1 << used) - 1), used)
+
+
+def _put_constant(out: BitWriter, pixel: int) -> None:
+    """An image that is the same pixel everywhere."""
     out.put(0, 1)
-    if both:  # two lengths, 0 and n: one bit each
-        out.put(int.from_bytes(np.packbits(used, bitorder="little").tobytes(), "little"), size)
-    return n
+    for shift in (8, 16, 0, 24):
+        out.put(1 | 1 << 2 | (pixel >> shift & 255) << 3, 11)
+    out.put(1, 4)
+
+
+def _entropy(values: np.ndarray) -> float:
+    c = np.bincount(values.reshape(-1), minlength=256)
+    c = c[c > 0]
+    return float(np.log2(c.sum()) - (c * np.log2(c)).sum() / c.sum())
 
 
-def encode_vp8l(rgb: np.ndarray) -> bytes:
-    """A lossless bitstream of an opaque image (height, width, 3)."""
-    height, width, _ = rgb.shape
+def encode_vp8l(grey: np.ndarray) -> bytes:
+    """A lossless bitstream of an opaque grey image (height, width)."""
+    height, width = grey.shape
     out = BitWriter()
     out.put(0x2F, 8)
     out.put(width - 1 | (height - 1) << 14, 28)
     out.put(0, 4)  # opaque, version 0
-    out.put(0, 3)  # no transform, no colour cache, one prefix group
-    flat = rgb.reshape(-1, 3)
-    bits = []
-    for channel, size in ((1, 280), (0, 256), (2, 256)):
-        values = flat[:, channel]
-        seen = np.bincount(values, minlength=256) > 0
-        want = 1 << max(0, int(seen.sum()) - 1).bit_length()
-        if want > seen.sum():
-            seen[np.flatnonzero(~seen)[: want - int(seen.sum())]] = True
-        symbols = np.flatnonzero(seen)
-        n = _put_flat(out, symbols, size)
-        index = (np.cumsum(seen) - 1).astype(np.uint8)[values]
-        if n:
-            bits.append(np.unpackbits((index << (8 - n)).astype(np.uint8)[:, None], axis=1, count=n))
-    out.put(1 | 1 << 2 | 255 << 3, 11)  # alpha: always 255
-    out.put(1, 4)  # distance: always 0
-    body = np.concatenate([out.array(), np.concatenate(bits, axis=1).reshape(-1) if bits else np.zeros(0, np.uint8)])
-    return np.packbits(body, bitorder="little").tobytes()
+    left, top = grey.copy(), grey.copy()
+    left[:, 1:] -= grey[:, :-1]
+    left[1:, 0] -= grey[:-1, 0]
+    top[1:] -= grey[:-1]
+    top[0, 1:] -= grey[0, :-1]
+    guesses = {1: _entropy(left), 2: _entropy(top)}
+    mode = min(guesses, key=guesses.get)
+    if guesses[mode] < 0.9 * _entropy(grey):
+        # the residuals' alpha is 0, and a cross-colour factor of one (32) takes green from red and blue
+        for kind, pixel in ((0, mode << 8), (1, 32 << 8 | 32)):
+            out.put(1 | kind << 1 | 7 << 3, 6)  # tiles of 512 pixels
+            _put_constant(out, pixel)
+        out.put(0, 1)
+        words = _put_pixels(out, (left if mode == 1 else top).reshape(-1), (0, 0, 0), True)
+    else:
+        colours = np.flatnonzero(np.bincount(grey.reshape(-1), minlength=256))
+        n = len(colours)
+        out.put(1 | 3 << 1, 3)
+        out.put(n - 1, 8)
+        # the palette, one row: differences, the same in red, green and blue; alpha 255, then 0
+        step = np.diff(colours, prepend=0)
+        out.put(0, 1)
+        green, size = _put_code(out, np.bincount(step, minlength=256), times=3)
+        alpha = np.zeros(n, dtype=np.int64)
+        alpha[0] = 255
+        alpha_code, alpha_size = _put_code(out, np.bincount(alpha, minlength=256))
+        out.put(1, 4)
+        one = np.stack([green[step]] * 3 + [alpha_code[alpha]], axis=1).reshape(-1)
+        one_size = np.stack([size[step]] * 3 + [alpha_size[alpha]], axis=1).reshape(-1)
+        _inline(out, _joined(one, one_size), int(one_size.sum()))
+        index = (np.cumsum(np.bincount(colours, minlength=256)) - 1).astype(np.uint8)[grey]
+        small = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
+        if small:
+            per = 8 >> small
+            packed = np.zeros((height, _sub_size(width, small)), dtype=np.uint8)
+            for k in range(1 << small):
+                some = index[:, k :: 1 << small]
+                packed[:, : some.shape[1]] |= some << np.uint8(k * per)
+            index = packed
+        out.put(0, 1)
+        words = _put_pixels(out, index.reshape(-1), (0, 0, 255), True)
+    # the header's last bits and the pixels' words in one stream
+    head, shift = out.value, out.size & 31
+    body = np.zeros(out.size // 32 + len(words) + 1, dtype=U64)
+    body[: out.size // 32 + 1] = np.frombuffer(head.to_bytes(4 * (out.size // 32 + 1), "little"), "<u4")
+    moved = words.astype(U64) << U64(shift)
+    body[out.size // 32 : out.size // 32 + len(words)] |= moved & U64(0xFFFFFFFF)
+    body[out.size // 32 + 1 :] |= moved >> U64(32)
+    return body.astype("<u4").tobytes()
 
 
 def _chunk(kind: bytes, body: bytes) -> bytes:
     return kind + struct.pack("<I", len(body)) + body + b"\0" * (len(body) & 1)
 
 
-def store(payload: bytes) -> bytes:
+def _image(payload: bytes) -> tuple[bytes, int, int]:
+    """A lossless chunk of a payload, the last row filled up with zeros, and its width and height."""
+    width = ROW * -(-len(payload) // (ROW * MAX_SIDE))
+    grey = np.frombuffer(payload + b"\0" * (-len(payload) % width), np.uint8).reshape(-1, width)
+    return _chunk(b"VP8L", encode_vp8l(grey)), width, grey.shape[0]
+
+
+def store(payload: bytes, most: int = ROW * (MAX_SIDE // ROW) * MAX_SIDE) -> bytes:
     """A WebP file of a payload that is a positive multiple of 192 bytes.
 
-    Rows are 64 RGB pixels, or a multiple where the image would grow too high;
+    Rows are 192 grey pixels, or a multiple where the image would grow too high;
     then the last row may be filled up, and a chunk of the extended format keeps
-    the payload's length.
+    the payload's length.  A payload beyond one image's `most` bytes becomes frames.
     """
-    if not payload or len(payload) % (3 * ROW_PIXELS):
+    if not payload or len(payload) % ROW:
         raise ValueError("the payload must be a positive multiple of 192 bytes")
-    wide = -(-len(payload) // (3 * ROW_PIXELS * MAX_SIDE))
-    row = 3 * ROW_PIXELS * wide
-    if ROW_PIXELS * wide > MAX_SIDE:
-        raise ValueError("the payload is larger than a WebP image can be")
-    filled = payload + b"\0" * (-len(payload) % row)
-    image = np.frombuffer(filled, np.uint8).reshape(-1, ROW_PIXELS * wide, 3)
-    body = _chunk(b"VP8L", encode_vp8l(image))
-    if len(filled) != len(payload):
-        flags = struct.pack("<I", 0) + (image.shape[1] - 1).to_bytes(3, "little") + (image.shape[0] - 1).to_bytes(3, "little")
-        body = _chunk(b"VP8X", flags) + body + _chunk(b"PLEN", struct.pack("<Q", len(payload)))
+    images = [_image(payload[at : at + most]) for at in range(0, len(payload), most)]
+    body, (_, width, height) = images[0][0], images[0]
+    three = lambda v: v.to_bytes(3, "little")
+    if len(images) > 1 or width * height != len(payload):
+        canvas = three(max(w for _, w, _ in images) - 1) + three(max(h for *_, h in images) - 1)
+        if len(images) > 1:
+            body = _chunk(b"ANIM", struct.pack("<IH", 0, 0)) + b"".join(_chunk(b"ANMF", bytes(6) + three(w - 1) + three(h - 1) + three(100) + b"\2" + image) for image, w, h in images)
+        body = _chunk(b"VP8X", struct.pack("<I", 2 * (len(images) > 1)) + canvas) + body + _chunk(b"PLEN", struct.pack("<Q", len(payload)))
     return b"RIFF" + struct.pack("<I", 4 + len(body)) + b"WEBP" + body
 
 
-def load(media: bytes) -> tuple[bytes, np.ndarray]:
-    """The payload read back, and the pixel array it was read from."""
-    pixels = decode_file(media)
-    payload = pixels[:, :, :3].tobytes()
+def load(media: bytes) -> tuple[bytes, list[np.ndarray]]:
+    """The payload read back, and the pixel arrays it was read from."""
+    images, size = [], None
     for kind, body in chunks(media):
-        if kind == b"PLEN":
-            payload = payload[: struct.unpack("<Q", body)[0]]
-    return payload, pixels
+        if kind == b"VP8L":
+            images.append(decode_vp8l(body))
+        elif kind == b"ANMF":
+            images.append(decode_vp8l(body[24 : 24 + int.from_bytes(body[20:24], "little")]))
+        elif kind == b"PLEN":
+            size = struct.unpack("<Q", body)[0]
+    return b"".join(x[:, :, 1].tobytes() for x in images)[:size], images
 
 
-def features(pixels: np.ndarray) -> str:
-    """Width, height, then mean and distinct values of R, G and B."""
-    flat = pixels[:, :, :3].reshape(-1, 3)
-    means = flat.mean(axis=0, dtype=np.float64)
-    return f"{pixels.shape[1]}x{pixels.shape[0]};" + ";".join(f"{m:.4f},{int((np.bincount(flat[:, c], minlength=256) > 0).sum())}" for c, m in enumerate(means))
+def features(images: Sequence[np.ndarray]) -> str:
+    """Width and height of each image, then mean and distinct values of R, G and B over all."""
+    sides = "+".join(f"{x.shape[1]}x{x.shape[0]}" for x in images)
+    counts = [sum(np.bincount(x[:, :, c].reshape(-1), minlength=256) for x in images) for c in range(3)]
+    return sides + ";" + ";".join(f"{(n @ np.arange(256)) / n.sum():.4f},{np.count_nonzero(n)}" for n in counts)
 
 
 def padded(raw: bytes) -> bytes:
     """Spaces up to a positive multiple of 192 bytes."""
-    size = 3 * ROW_PIXELS
-    return raw + b" " * ((-len(raw)) % size if raw else size)
+    return raw + b" " * (-len(raw) % ROW if raw else ROW)
 
 
 def to_media(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -479,7 +879,7 @@ def to_media(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id
                 made = [pa.array([len(b) for b in raw], pa.int64()), pa.array([store(padded(b)) for b in raw], pa.binary())]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *made], [*names, "n_bytes", "media"])
 
-    return docs.select(*(docs[c] for c in names), docs[text].cast("binary").alias("__text")).mapInArrow(run, schema)
+    return arrow_map(docs.select(*(docs[c] for c in names), docs[text].cast("binary").alias("__text")), run, schema)
 
 
 READ = T.StructType(
@@ -495,7 +895,7 @@ READ = T.StructType(
 
 
 def read_media(media: DataFrame, column: str = "media", keep: Sequence[str] = ("doc_id", "n_bytes"), pixels: bool = False) -> DataFrame:
-    """`keep` columns and what the decoded pixel arrays show; with `pixels` also width, height and the RGB bytes."""
+    """`keep` columns and what the decoded pixel arrays show; with `pixels` also width, height and the RGB bytes (of frames, one below the other)."""
     extra = [T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("rgb", T.BinaryType())] if pixels else []
     made = [*READ.fields, *extra]
     fields = [media.schema[c] for c in keep if c not in {f.name for f in made}]
@@ -509,11 +909,11 @@ def read_media(media: DataFrame, column: str = "media", keep: Sequence[str] = ("
                     if b is None:
                         rows.append((None,) * len(made))
                         continue
-                    payload, image = load(b)
-                    row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(b), hashlib.sha256(b).hexdigest(), features(image))
-                    rows.append(row + ((image.shape[1], image.shape[0], image[:, :, :3].tobytes()) if pixels else ()))
+                    payload, images = load(b)
+                    row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(b), hashlib.sha256(b).hexdigest(), features(images))
+                    rows.append(row + ((images[0].shape[1], sum(x.shape[0] for x in images), b"".join(x[:, :, :3].tobytes() for x in images)) if pixels else ()))
                 types = {T.LongType: pa.int64(), T.StringType: pa.string(), T.IntegerType: pa.int32(), T.BinaryType: pa.binary()}
                 arrays = [pa.array([r[i] for r in rows], types[type(f.dataType)]) for i, f in enumerate(made)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *arrays], [*names, *(f.name for f in made)])
 
-    return media.select(*(media[c] for c in names), media[column].alias("__media")).mapInArrow(run, T.StructType([*fields, *made]))
+    return arrow_map(media.select(*(media[c] for c in names), media[column].alias("__media")), run, T.StructType([*fields, *made]))

@@ -8,7 +8,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +28,12 @@ def small(df: DataFrame, row_bytes: Column | int = 32) -> DataFrame:
     return F.broadcast(held) if size <= BROADCAST_BYTES else held
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver find the shuffle and checkpoint files of finished phases, so that they go now and not at some later collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def give_back() -> None:
     """Returns unused memory of this worker to the system."""
     pa.default_memory_pool().release_unused()

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.frames import arrow_map, small
+from tessera.llm.frames import arrow_map, release, small
 from tessera.llm.textops import U64, Words, buffers, mix64, slices, whole_hash
 from tessera.session import ensure_checkpoint_dir
 
@@ -359,6 +359,8 @@ def connect(links: DataFrame, labels: DataFrame) -> DataFrame:
         if after.where("c <> was").isEmpty():
             break
         root = after.select("v", "c")
+        del near, low, jump, after
+        release(labels.sparkSession)
     moved = root.select(F.col("v").alias("comp"), "c")
     return labels.join(moved, "comp", "left").select("node", F.coalesce("c", "comp").alias("comp")).checkpoint()
 
@@ -456,12 +458,14 @@ def components(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int
     heavy = probes.where(F.col("c") >= PROBES).orderBy(F.desc("c"), "sig").limit(HEAVY).select("sig").collect()
     heavy = np.sort(np.array([r["sig"] for r in heavy], dtype=np.int64))
     shared = _shared(_signed(source.select("__text"), n, p, q, names, heavy)).checkpoint()
+    release(docs.sparkSession)
     # one document of each node that shares a signature, its text read again
     wanted = shared.select("node").distinct().checkpoint()
     chosen = named.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.xxhash64("__key")).alias("__pick"))
     chosen = small(chosen.select("__pick").distinct(), 16)
     texts = source.withColumn("__pick", F.xxhash64("__key")).join(chosen, "__pick", "left_semi").select("__text")
     held = _held(texts, n, names).join(wanted, "node", "left_semi").dropDuplicates(["node"]).checkpoint()
+    release(docs.sparkSession)
     light = held.select("node", "size", "sketch")
 
     # first links: each node with the nearest of its leaders
@@ -475,14 +479,18 @@ def components(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int
     near = near.where((q + p) * F.col("apart") <= (q - p) * (F.col("na") + F.col("nb")))
     near = near.groupBy("node").agg(F.min(F.struct("apart", "leader")).alias("s")).select(F.least("node", "s.leader").alias("a"), F.greatest("node", "s.leader").alias("b")).distinct()
     tested = near.checkpoint()
+    release(docs.sparkSession)
     labels = connect(_verified(tested, held, p, q), wanted.withColumn("comp", F.col("node")))
 
     # then between components, the nearest pairs first, until none is untested
     for best in (True, False):
         members = _unsettled(shared, labels).join(light, "node")
         pairs = _across(members, p, q, best).join(tested, ["a", "b"], "left_anti").checkpoint()
+        del members
+        release(docs.sparkSession)
         labels = connect(_verified(pairs, held, p, q), labels)
         tested = tested.unionAll(pairs)
+        release(docs.sparkSession)
 
     full = named.select("__key", "node", "n_shingles").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = full.where("comp is not null").groupBy("comp").agg(F.min("__key").alias("low"))

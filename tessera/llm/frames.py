@@ -43,6 +43,26 @@ def give_back() -> None:
         pass
 
 
+def packed_checkpoint(df: DataFrame) -> DataFrame:
+    """The rows computed once, a checkpoint of compressed Arrow batches; a checkpoint of rows takes several times that on disk."""
+    schema = df.schema
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(batch)
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["packed"])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one in batch.column("packed"):
+                yield from pa.ipc.open_stream(one.as_buffer())
+
+    return arrow_map(arrow_map(df, pack, "packed binary").checkpoint(), unpack, schema)
+
+
 def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
     """mapInArrow over batches of bounded size, with unused memory given back now and then and after a task.
 

@@ -13,8 +13,11 @@ Suffixes are sorted by the difference cover {1, 2} modulo 3: those at its places
 triples, which get names in order, then by recursion on the names; the rest by
 their first symbol and the rank behind it; then both are merged.  Neighbours that
 agree in `length` bytes are repeats.  Anchors are sorted whole in blocks of
-contexts; one whose contexts exceed a block is sorted in the same way as
-DataFrames, by range partitions (`cover_ranks`), by its strings' `length` bytes.
+contexts.  One whose contexts exceed a block is first parted by where strings have
+the anchor, SPREAD places at a time, and by the bytes that all strings of such
+places share, so equal strings stay together; a part that still exceeds a block is
+sorted in the same way as DataFrames, by range partitions (`cover_ranks`), by its
+strings' `length` bytes.
 
 Defined results: a null text is the empty text; matches never cross rows; repeated
 rows are repeats of each other, of equal strings (ties) all go; texts of any length
@@ -35,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.frames import arrow_map, release, small
+from tessera.llm.frames import arrow_map, packed_checkpoint, release, small
 from tessera.llm.textops import U64, Rolling, as_binary, buffers, mix64, powers, slices
 from tessera.session import ensure_checkpoint_dir
 
@@ -43,6 +46,8 @@ LENGTH, ANCHOR = 200, 48
 #: Bytes of contexts sorted at once, and most of one anchor.
 BLOCK = 1 << 20
 PLACE_BITS = 24
+#: Places of the anchor in a string by which a very large anchor is parted.
+SPREAD = 32
 PIECE = 4 << 20
 #: One row in PROBE is a probe; an anchor of PROBES contexts of probes or more is dealt out in SALTS parts.  The
 #: list of such anchors is cut to the HEAVY most frequent, which bounds it; the rest stay whole.
@@ -300,6 +305,58 @@ def _sorted_blocks(cut: DataFrame, length: int, block: int) -> DataFrame:
     return arrow_map(cut.select(*CONTEXT, "bytes").repartition("anchor").sortWithinPartitions("anchor"), run, RUNS)
 
 
+def _parted(cut: DataFrame, length: int, k: int) -> DataFrame:
+    """Contexts of large anchors cut again by the place of the anchor in their strings, SPREAD places each.
+
+    `anchor` is then a hash of the old one (`home`), the places and the bytes that all strings of these places
+    share; `shift` is where the new context starts in the old one.
+    """
+    window = length - k + 1
+    names = ["anchor", "home", *CONTEXT[1:], "shift", "bytes"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "bytes", 1 << 19):
+                raw, offsets = buffers(batch.column("bytes"))
+                rolling = Rolling(raw)
+                high = rolling.grams(k) >> U64(PLACE_BITS)
+                rows, lows, ends, places, shared = [], [], [], [], []
+                for i, (a, z) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+                    last = z - a - length  # the last string's start
+                    at = int(np.argmin(high[a : a + window]))
+                    for r in range((at - last) // SPREAD, at // SPREAD + 1):
+                        low, top = r * SPREAD, min((r + 1) * SPREAD, window) - 1
+                        rows.append(i)
+                        lows.append(a + max(0, at - top))
+                        ends.append(a + min(last, at - low) + length)
+                        places.append(r)
+                        shared.append((a + at - low, a + at - top + length))
+                if not rows:
+                    continue
+                row, low = np.array(rows), np.array(lows)
+                home = batch.column("anchor").to_numpy()[row]
+                edges = np.array(shared)
+                group = mix64(mix64(rolling.ranges(edges[:, 0], edges[:, 1]) + np.array(places, dtype=U64)) ^ home.view(U64)).view(np.int64)
+                text = raw.tobytes()
+                parts = [text[x:y] for x, y in zip(lows, ends, strict=True)]
+                made = [pa.array(group), pa.array(home), *(batch.column(c).take(pa.array(row)) for c in CONTEXT[1:]), pa.array((low - offsets[row]).astype(np.int32)), pa.array(parts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(made, names)
+
+    return arrow_map(cut.select(*CONTEXT, "bytes"), run, "anchor long, home long, context long, check long, shift int, bytes binary")
+
+
+def _sorted_large(cut: DataFrame, length: int, k: int, block: int) -> DataFrame:
+    """Runs of repeated string starts in contexts of anchors beyond a block."""
+    parts = packed_checkpoint(_parted(cut, length, k))
+    sizes = parts.groupBy("anchor").agg(F.sum(F.octet_length("bytes")).alias("bytes"))
+    large = sizes.where(F.col("bytes") > block).select("anchor").checkpoint()
+    runs = _sorted_blocks(parts.join(large, "anchor", "left_anti"), length, block)
+    if not large.isEmpty():
+        runs = runs.unionAll(_sorted_wide(parts.join(large, "anchor", "left_semi").select(*CONTEXT, "bytes"), length))
+    back = runs.join(parts.select(*CONTEXT, "home", "shift").distinct(), [*CONTEXT])
+    return back.select(F.col("home").alias("anchor"), *CONTEXT[1:], (F.col("from") + F.col("shift")).alias("from"), (F.col("to") + F.col("shift")).alias("to"))
+
+
 def _symbols(texts: DataFrame, **places: int) -> DataFrame:
     """id, p and, by name, the symbols some places on from p (0 beyond the end) of texts (id, s)."""
     at = lambda i: F.coalesce(F.get("s", i), F.lit(0).cast("long"))
@@ -411,10 +468,11 @@ def repeats(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id"
 
     probes = _contexts(source.where(F.pmod("rid", F.lit(PROBE)) == 0), length, k, np.zeros(0, np.int64))
     heavy = probes.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") >= PROBES).orderBy(F.desc("n"), "anchor").limit(HEAVY).select("anchor").collect()
-    seen = _recurring(_contexts(source, length, k, np.sort(np.array([r["anchor"] for r in heavy], dtype=np.int64)))).checkpoint()
+    seen = packed_checkpoint(_recurring(_contexts(source, length, k, np.sort(np.array([r["anchor"] for r in heavy], dtype=np.int64)))))
     release(docs.sparkSession)
     place = F.struct("rid", "start", "count")
-    kinds = seen.groupBy(*CONTEXT).agg(F.count("*").alias("n"), F.min(place).alias("one"), F.max(place).alias("two")).checkpoint()
+    kinds = packed_checkpoint(seen.groupBy(*CONTEXT).agg(F.count("*").alias("n"), F.min(place).alias("one"), F.max(place).alias("two")))
+    release(docs.sparkSession)
     # two places stand for a context that recurs, one for any other; those of an anchor are sorted together
     stands = kinds.select(*CONTEXT, F.explode(F.when(F.col("n") == 1, F.array("one")).otherwise(F.array("one", "two"))).alias("at"))
     stands = stands.select(*CONTEXT, "at.rid", "at.start", "at.count")
@@ -429,7 +487,12 @@ def repeats(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id"
     if not large.isEmpty():
         wide = stands.join(large, "anchor", "left_semi")
         few = source.join(small(wide.select("rid").distinct(), 16), "rid", "left_semi")
-        runs = runs.unionAll(_sorted_wide(cut(wide, few), length))
+        runs = runs.unionAll(_sorted_large(cut(wide, few), length, k, block))
+        del wide, few
+    # the files of contexts' bytes go before texts are shuffled again
+    runs = runs.checkpoint()
+    del kinds, stands, sizes, large
+    release(docs.sparkSession)
     spans = seen.join(runs, [*CONTEXT]).select("rid", F.struct((F.col("start") + F.col("from")).alias("start"), (F.col("start") + F.col("to") + length).alias("end")).alias("span"))
     found = spans.groupBy("rid").agg(F.collect_set("span").alias("found"))
     joined = _packed(rows).join(found, "rid", "left").select(*names, "__text", "__size", "found")

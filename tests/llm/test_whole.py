@@ -4,9 +4,10 @@ import collections
 import random
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
-from tessera.llm import decontaminate, linededup, pii, quality, simjoin, suffix
+from tessera.llm import decontaminate, frames, linededup, pii, quality, simjoin, suffix
 from tessera.llm.textops import Rolling
 
 
@@ -164,3 +165,33 @@ def test_decontaminate_memory_of_far_hits():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert [(s, a) for _, _, s, a, _ in found] == [(1.0, 0)] and peak < 150e6
+
+
+@pytest.mark.parametrize("spread", [4, 1000])
+def test_suffix_large_anchor_in_parts(spark, monkeypatch, spread):
+    """Contexts of one large anchor go to the distributed sort only where they share more than the anchor."""
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    hash_of = lambda g: int(Rolling(np.frombuffer(g.encode(), np.uint8)).grams(4)[0])
+    gram = min((letters(4) for _ in range(3000)), key=hash_of)
+    same = letters(9) + gram + letters(9)
+    texts = [letters(25) + (same if i % 9 == 0 else letters(9) + gram + letters(9)) + letters(25) for i in range(63)]
+    texts += [texts[3], texts[4][5:50] + letters(3)]
+    starts = collections.Counter(t[i : i + 20] for t in texts for i in range(len(t) - 19))
+    want = []
+    for i, t in enumerate(texts):
+        gone = {j for a in range(len(t) - 19) if starts[t[a : a + 20]] > 1 for j in range(a, a + 20)}
+        want.append((i, "".join(c for j, c in enumerate(t) if j not in gone)))
+    wide, calls = suffix._sorted_wide, []
+    monkeypatch.setattr(suffix, "_sorted_wide", lambda *a: (calls.append(1), wide(*a))[1])
+    monkeypatch.setattr(suffix, "SPREAD", spread, raising=False)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r["doc_id"], bytes(r["kept"]).decode()) for r in suffix.repeats(docs, length=20, k=4, block=600).collect())
+    assert got == want and len(calls) == (spread > 100)
+
+
+def test_packed_checkpoint(spark):
+    rows = spark.range(50_000).selectExpr("id", "cast(id % 7 as byte) b", "struct(id x, cast(null as string) y) s", "array(id) a")
+    held = frames.packed_checkpoint(rows)
+    assert held.schema.simpleString() == rows.schema.simpleString() and held.exceptAll(rows).isEmpty() and held.count() == 50_000
+    assert frames.packed_checkpoint(rows.where("id < 0")).count() == 0

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tessera.llm.frames import arrow_map
-from tessera.llm.textops import U64, as_binary, slices
+from tessera.llm.textops import U64, as_binary, mix64, slices
 
 #: Order in which the lengths of the code-length code are stored (fixed values of the format).
 CODE_LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -44,6 +44,8 @@ ROW, MAX_SIDE = 192, 16384
 LEAST_COPY, MOST_COPY, MOST_BITS = 8, 4096, 12
 #: Bytes of a stream that are tabled at once, and bits in which several literals are found at once.
 SEGMENT, HOP_BITS = 1 << 16, 11
+#: Bits at a stream's end before which a file of this encoder has no padding.
+TAIL_BITS = 96
 #: Short distances name neighbours, nearest first, by how far they lie to the side and then left before right.
 NEIGHBOURS = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), -p[0]))
 
@@ -119,17 +121,19 @@ class Prefix:
         """
         if self.hop is None:
             index = np.arange(1 << HOP_BITS)
-            one = self.table[index & self.mask].astype(np.int32)
-            spent, count, literals = np.zeros(len(index), np.int32), np.zeros(len(index), np.int32), []
-            open_ = np.ones(len(index), dtype=bool)
-            for _ in range(3):
-                found = one[index >> spent]
-                size = found & 15
-                open_ &= (found < 4096) & (spent + size <= HOP_BITS)
-                literals.append((found >> 4).astype(np.uint8))
-                spent += np.where(open_, size, 0)
-                count += open_
-            self.hop = ((spent | count << 4).astype(np.uint8), *literals)
+            one = np.tile(self.table, max(1, len(index) >> self.width))[: len(index)].astype(np.int64)
+            # a code that is no literal takes more bits than there are
+            size = np.where(one < 4096, one & 15, HOP_BITS + 1)
+            literal = (one >> 4).astype(np.uint8)
+            spent, open_ = size, size <= HOP_BITS
+            hop, literals = np.where(open_, size | 16, 0), [literal]
+            for count in (2, 3):
+                ahead = index >> np.minimum(spent, HOP_BITS)
+                spent = spent + size[ahead]
+                open_ = spent <= HOP_BITS
+                literals.append(literal[ahead])
+                hop = np.where(open_, spent | count << 4, hop)
+            self.hop = (hop.astype(np.uint8), *literals)
         return self.hop
 
     def read(self, bits: Bits) -> int:
@@ -161,7 +165,7 @@ def read_prefix(bits: Bits, size: int) -> Prefix:
         first[s] = word & 7
         word >>= 3
     outer = prefix(bytes(first).rstrip(b"\0"))
-    table, mask = outer.table.tolist(), outer.mask
+    table, mask = outer.listed(), outer.mask
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
     start = bits.at
     word = int.from_bytes(bits.data[start >> 3 : (start >> 3) + 2 + 2 * min(left, size)], "little") >> (start & 7)
@@ -271,10 +275,65 @@ def _walk(bits: Bits, width: int, group: list[Prefix], total: int) -> np.ndarray
     return _walk_green(bits, width, green, group[4], total).astype(np.uint32) << np.uint32(8) | rest
 
 
+def _reference(data: bytes, after: int, code: int, apart: list[int], mask: int, width: int) -> tuple[int, int, int]:
+    """Length and distance in pixels of a back-reference, and the bits they take behind the length's code: at most 43."""
+    word = int.from_bytes(data[after >> 3 : (after >> 3) + 8], "little") >> (after & 7)
+    if code < 4:
+        length, spent = code + 1, 0
+    else:
+        spent = (code - 2) >> 1
+        length = ((2 + (code & 1)) << spent) + (word & ((1 << spent) - 1)) + 1
+    found = apart[word >> spent & mask]
+    spent += found & 15
+    found >>= 4
+    if found < 4:
+        return length, _pixels_back(found + 1, width), spent
+    extra = (found - 2) >> 1
+    far = ((2 + (found & 1)) << extra) + (word >> spent & ((1 << extra) - 1)) + 1
+    return length, far - 120 if far > 120 else _pixels_back(far, width), spent + extra
+
+
+def _walk_far(data: bytes, base: int, at: int, near: int, jump: bytes, window: np.ndarray, width: int, green: Prefix, distance: Prefix) -> tuple[int, list[int], list[tuple[int, int, int]]]:
+    """From bit `at` behind `base` to the first place at or beyond `near`: that place, the places of literals (~place of a lone one)
+    and the back-references (how many places came before, length, distance).
+
+    jump: bits of the literals whole in the next HOP_BITS bits, 0 from `near` on.
+    """
+    starts: list[int] = []
+    references: list[tuple[int, int, int]] = []
+    add, single, mask = starts.append, green.listed(), green.mask
+    apart, far_mask = distance.listed(), distance.mask
+    while at < near:
+        while n := jump[at]:  # zeros follow the last
+            add(at)
+            at += n
+        if at >= near:
+            break
+        found = int(window[at])
+        found = single[found & mask]
+        if found < 4096:
+            add(~at)
+            at += found & 15
+            continue
+        after = base + at + (found & 15)
+        length, far, spent = _reference(data, after, (found >> 4) - 256, apart, far_mask, width)
+        references.append((len(starts), length, far))
+        at = after + spent - base
+    return at, starts, references
+
+
+def _counted(places: np.ndarray, step: np.ndarray, window: np.ndarray) -> np.ndarray:
+    """How many literals begin in the bits at each place; one at a place given as ~place."""
+    count = step[window[np.maximum(places, 0)] & np.uint16((1 << HOP_BITS) - 1)] >> np.uint8(4)
+    count[places < 0] = 1
+    return count
+
+
 def _walk_green(bits: Bits, width: int, green: Prefix, distance: Prefix, total: int) -> np.ndarray:
     """The green values of pixels whose other channels are constant: a walk from literals to literals over tabled bit positions."""
-    out, done = np.empty(total, dtype=np.uint8), 0
+    out, done = bytearray(total), 0
     step, *literals = green.hops()
+    jump = step & np.uint8(15)
     single, apart = green.listed(), distance.listed()
     while done < total:
         base = bits.at >> 3
@@ -282,19 +341,47 @@ def _walk_green(bits: Bits, width: int, green: Prefix, distance: Prefix, total:
         three = raw[:-2] | raw[1:-1] << np.uint32(8) | raw[2:] << np.uint32(16)
         window = (three[:, None] >> np.arange(8, dtype=np.uint32)).astype(np.uint16).reshape(-1)
         limit = 8 * min(SEGMENT, len(raw) - 48)
-        hops = step[window & np.uint16((1 << HOP_BITS) - 1)].tobytes()
+        ahead = window[:limit] & np.uint16((1 << HOP_BITS) - 1)
         at, starts, runs, begun, room = bits.at & 7, [], [], done, total - done
-        add = starts.append
+        known, count = [], []  # of all places passed
+        # far from the stream's end pixels need no counting on the way
+        near = min(limit, bits.total - 8 * base - TAIL_BITS)
+        if near > 0:
+            swift = _walk_far(bits.data, 8 * base, at, near, jump[ahead[:near]].tobytes() + bytes(HOP_BITS), window, width, green, distance)
+            places = np.array(swift[1], dtype=np.int64)
+            counts = _counted(places, step, window)
+            after = np.zeros(len(counts) + 1, dtype=np.int64)
+            np.cumsum(counts, out=after[1:])
+            read = int(after[-1])
+            copied = sum([n for _, n, _ in swift[2]])
+            if read + copied <= room:  # else the image ends before: pixels are counted
+                at = swift[0]
+                known.append(places)
+                count.append(counts)
+                room -= read + copied
+                to, past = done, 0
+                for literal, (_, length, far) in zip(after[[i for i, *_ in swift[2]]].tolist() if swift[2] else (), swift[2], strict=True):
+                    to += literal - past
+                    if far > to:
+                        raise ValueError("a back-reference leaves the image")
+                    runs.append((literal - past, length, far))
+                    past = literal
+                    to += length
+                runs.append((read - past, 0, 0))
+        begin, add = at, starts.append  # places before are not looked at again
+        hops = step[ahead[begin:]].tobytes()
         while room:
             before = room
             if at < limit:
                 while room > 2:
-                    n = hops[at]
-                    if not n or at >= limit:
+                    n = hops[at - begin]
+                    if not n:
                         break
                     add(at)
                     at += n & 15
                     room -= n >> 4
+                    if at >= limit:
+                        break
             if at >= limit or not room:
                 runs.append((before - room, 0, 0))
                 break
@@ -305,30 +392,24 @@ def _walk_green(bits: Bits, width: int, green: Prefix, distance: Prefix, total:
                 room -= 1
                 runs.append((before - room, 0, 0))
                 continue
-            # length and distance: at most 43 bits after the length's code
             after = 8 * base + at + (found & 15)
-            word = int.from_bytes(bits.data[after >> 3 : (after >> 3) + 8], "little") >> (after & 7)
-            length, extra = _spelt((found >> 4) - 256, word)
-            code = apart[word >> extra & distance.mask]
-            spent = extra + (code & 15)
-            far, extra = _spelt(code >> 4, word >> spent)
-            far = _pixels_back(far, width)
+            length, far, spent = _reference(bits.data, after, (found >> 4) - 256, apart, distance.mask, width)
             to = total - room
             if far > to or length > room:
                 raise ValueError("a back-reference leaves the image")
             runs.append((before - room, length, far))
             room -= length
-            at = after + spent + extra - 8 * base
+            at = after + spent - 8 * base
         done = total - room
         bits.at = 8 * base + at
         if bits.at > bits.total:
             raise ValueError("the stream ends early")
-        known = np.array(starts, dtype=np.int64)
+        places = np.array(starts, dtype=np.int64)
+        known, count = np.concatenate([*known, places]), np.concatenate([*count, _counted(places, step, window)])
         many = known >= 0
         code = window[np.where(many, known, ~known)]
         index = code & np.uint16((1 << HOP_BITS) - 1)
-        count = np.where(many, step[index] >> np.uint8(4), 1)
-        end = np.cumsum(count)
+        end = np.cumsum(count, dtype=np.int64)
         place = end - count
         found = np.empty(int(end[-1]) if len(end) else 0, dtype=np.uint8)
         found[place] = literals[0][index]
@@ -337,16 +418,16 @@ def _walk_green(bits: Bits, width: int, green: Prefix, distance: Prefix, total:
         for k in (1, 2):
             some = np.flatnonzero(count > k)
             found[place[some] + k] = literals[k][index[some]]
-        to, taken = begun, 0
+        to, taken, found = begun, 0, found.tobytes()
         for literal, length, far in runs:
             out[to : to + literal] = found[taken : taken + literal]
             to, taken = to + literal, taken + literal
             if far >= length:
                 out[to : to + length] = out[to - far : to - far + length]
-            else:
-                out[to : to + length] = np.resize(out[to - far : to], length)
+            elif length:
+                out[to : to + length] = (out[to - far : to] * (length // far + 1))[:length]
             to += length
-    return out
+    return np.frombuffer(out, dtype=np.uint8)
 
 
 def _walk_pixels(bits: Bits, width: int, group: list[Prefix], total: int) -> np.ndarray:
@@ -473,13 +554,19 @@ def undo_cross_colour(pixels: np.ndarray, width: int, height: int, bits: int, fa
 
 
 def undo_subtract_green(pixels: np.ndarray) -> np.ndarray:
-    green = pixels >> 8 & 255
+    green = pixels >> np.uint32(8) & np.uint32(255)
+    if not (pixels & np.uint32(0x00FF00FF)).any():
+        return pixels | green << np.uint32(16) | green
     return (pixels & np.uint32(0xFF00FF00)) | ((pixels >> 16) + green & 255) << 16 | (pixels + green & 255)
 
 
 def undo_palette(pixels: np.ndarray, width: int, height: int, bits: int, table: np.ndarray) -> np.ndarray:
     """Indices, several to a pixel's green where the palette is small; an index beyond the palette is transparent black."""
     packed, per = _sub_size(width, bits), 8 >> bits
+    if not bits and len(table) <= 256:
+        full = np.zeros(256, dtype=np.uint32)
+        full[: len(table)] = table
+        return full[pixels >> np.uint32(8) & np.uint32(255)]
     x = np.arange(width)
     green = (pixels.reshape(height, packed) >> 8 & 255)[:, x >> bits]
     index = green >> (per * (x & ((1 << bits) - 1))).astype(np.uint32) & np.uint32((1 << per) - 1)
@@ -601,18 +688,17 @@ def codes_of(lengths: Sequence[int]) -> list[int]:
     return out
 
 
-def _put_code(out: BitWriter, counts: np.ndarray, times: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Writes a prefix code for counted symbols, `times` over; returns each symbol's written code and its number of bits."""
+def _put_code(out: BitWriter, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Writes a prefix code for counted symbols; returns each symbol's written code and its number of bits."""
     used = np.flatnonzero(counts)
     if len(used) <= 2 and (not len(used) or used[-1] < 256):
         few = used.tolist() or [0]
         codes, sizes = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
         for i, s in enumerate(few):
             codes[s], sizes[s] = i, len(few) - 1
-        for _ in range(times):
-            out.put(1 | (len(few) - 1) << 1 | 1 << 2, 3)
-            for s in few:
-                out.put(s, 8)
+        out.put(1 | (len(few) - 1) << 1 | 1 << 2, 3)
+        for s in few:
+            out.put(s, 8)
         return codes, sizes
     lengths = code_lengths(counts[: used[-1] + 1].tolist(), MOST_BITS)
     tokens, kinds, rest = [], [0] * 19, 0
@@ -648,8 +734,7 @@ def _put_code(out: BitWriter, counts: np.ndarray, times: int = 1) -> tuple[np.nd
     for n, extra, bits in tokens:
         value |= (code[n] | extra << size[n]) << at
         at += size[n] + bits
-    for _ in range(times):
-        out.put(value, at)
+    out.put(value, at)
     codes, sizes = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
     codes[: len(lengths)] = codes_of(lengths)
     if len(used) > 1:
@@ -672,7 +757,11 @@ def copies(pixels: np.ndarray) -> np.ndarray:
     x = pixels.astype(U64)
     for wide in (1, 2, 4):
         x = x[:-wide] | x[wide:] << U64(8 * wide)
-    order = np.argsort(x, kind="stable")
+    if len(x) <= 1 << 16:  # hashes that end in the places sort fast, and in the order of places; equal hashes are compared
+        low = U64((1 << 16) - 1)
+        order = (np.sort((mix64(x) & ~low) | np.arange(len(x), dtype=U64)) & low).astype(np.int64)
+    else:
+        order = np.argsort(x, kind="stable")
     ranked = x[order]
     twin = np.flatnonzero(ranked[1:] == ranked[:-1])
     if not len(twin):
@@ -703,7 +792,9 @@ def _joined(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     start = np.cumsum(sizes) - sizes
     placed = values.astype(U64) << (start & 31).astype(U64)
     word = start >> 5
-    first = np.flatnonzero(np.diff(word, prepend=-1))
+    new = np.ones(len(word), dtype=bool)
+    np.not_equal(word[1:], word[:-1], out=new[1:])
+    first = np.flatnonzero(new)
     sums = np.add.reduceat(placed, first)
     out = np.zeros(int(word[-1]) + 2, dtype=U64)
     out[word[first]] = sums & U64(0xFFFFFFFF)
@@ -728,10 +819,17 @@ def _put_pixels(out: BitWriter, green: np.ndarray, others: Sequence[int], main:
     for value in others:
         out.put(1 | 1 << 2 | value << 3, 11)
     far_code, far_size = _put_code(out, np.bincount(far, minlength=40))
-    where = np.repeat(np.searchsorted(place, found[:, 0]), 4)
-    more = np.stack([code[256 + length], length_extra, far_code[far], far_extra], axis=1).reshape(-1)
-    more_bits = np.stack([size[256 + length], length_bits, far_size[far], far_bits], axis=1).reshape(-1)
-    return _joined(np.insert(code[literal], where, more), np.insert(size[literal], where, more_bits))
+    if not len(found):
+        return _joined(code[literal], size[literal])
+    # four fields of a back-reference lie before the literals that follow it
+    at = np.searchsorted(place, found[:, 0]) + 4 * np.arange(len(found))
+    fields, bits = np.empty((2, len(literal) + 4 * len(found)), dtype=np.int64)
+    free = np.ones(len(fields), dtype=bool)
+    made = ((code[256 + length], size[256 + length]), (length_extra, length_bits), (far_code[far], far_size[far]), (far_extra, far_bits))
+    for k, (value, width) in enumerate(made):
+        fields[at + k], bits[at + k], free[at + k] = value, width, False
+    fields[free], bits[free] = code[literal], size[literal]
+    return _joined(fields, bits)
 
 
 def _inline(out: BitWriter, words: np.ndarray, used: int) -> None:
@@ -774,22 +872,28 @@ def encode_vp8l(grey: np.ndarray) -> bytes:
         out.put(0, 1)
         words = _put_pixels(out, (left if mode == 1 else top).reshape(-1), (0, 0, 0), True)
     else:
-        colours = np.flatnonzero(np.bincount(grey.reshape(-1), minlength=256))
+        present = np.bincount(grey.reshape(-1), minlength=256) > 0
+        colours = np.flatnonzero(present)
         n = len(colours)
+        out.put(1 | 2 << 1, 3)  # green is taken from red and blue, so that the palette has it alone
         out.put(1 | 3 << 1, 3)
         out.put(n - 1, 8)
-        # the palette, one row: differences, the same in red, green and blue; alpha 255, then 0
-        step = np.diff(colours, prepend=0)
+        # the palette, one row: differences of green, then alpha 255 once and 0
+        step = colours.copy()
+        step[1:] -= colours[:-1]
         out.put(0, 1)
-        green, size = _put_code(out, np.bincount(step, minlength=256), times=3)
-        alpha = np.zeros(n, dtype=np.int64)
-        alpha[0] = 255
-        alpha_code, alpha_size = _put_code(out, np.bincount(alpha, minlength=256))
+        green, size = _put_code(out, np.bincount(step, minlength=256))
+        for _ in range(2):
+            out.put(1 | 1 << 2, 11)
+        if n > 1:  # 0 and 255: one bit each
+            out.put(1 | 1 << 1 | 1 << 2 | 255 << 11, 19)
+        else:
+            out.put(1 | 1 << 2 | 255 << 3, 11)
         out.put(1, 4)
-        one = np.stack([green[step]] * 3 + [alpha_code[alpha]], axis=1).reshape(-1)
-        one_size = np.stack([size[step]] * 3 + [alpha_size[alpha]], axis=1).reshape(-1)
+        one, one_size = green[step], size[step] + (n > 1)
+        one[0] |= (n > 1) << int(size[step[0]])
         _inline(out, _joined(one, one_size), int(one_size.sum()))
-        index = (np.cumsum(np.bincount(colours, minlength=256)) - 1).astype(np.uint8)[grey]
+        index = (np.cumsum(present) - 1).astype(np.uint8)[grey]
         small = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
         if small:
             per = 8 >> small

@@ -266,3 +266,24 @@ def test_store_and_load():
         webp.store(b"x")
     with pytest.raises(ValueError):
         webp.decode_file(b"nothing of the kind")
+
+
+def test_few_codes_and_a_stream_with_bytes_behind_it(monkeypatch):
+    rng = np.random.default_rng(4)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9)).tolist()) for _ in range(400)]
+    payload = webp.padded(b" ".join(words[int(n)] for n in rng.integers(0, 400, 40_000)) + b"\xff" * 999)
+    seen, read = [], webp.read_prefix
+    monkeypatch.setattr(webp, "read_prefix", lambda *a: (seen.append(read(*a)), seen[-1])[1])
+    for raw in (payload, payload[:1920], payload[:384] + payload[:384], b" " * 192, bytes(range(192)) * 2):
+        media = webp.store(raw)
+        seen.clear()
+        assert webp.load(media)[0] == raw
+        # the palette's green and alpha, the pixels' green and distances
+        assert sum(c.width > 0 for c in seen) <= 4
+        grey = webp.decode_file(media)
+        assert (grey[:, :, 0] == grey[:, :, 1]).all() and (grey[:, :, 2] == grey[:, :, 1]).all() and (grey[:, :, 3] == 255).all()
+        body = next(b for k, b in webp.chunks(media) if k == b"VP8L")
+        for behind in (bytes(5000), bytes(rng.integers(0, 256, 5000).tolist()), b"\xff" * 5000):
+            assert (webp.decode_vp8l(body + behind) == grey).all()
+        with pytest.raises(ValueError):
+            webp.decode_vp8l(body[: len(body) // 2])

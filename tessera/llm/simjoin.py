@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.frames import arrow_map, release, small
+from tessera.llm.frames import arrow_map, packed_checkpoint, release, small
 from tessera.llm.textops import U64, Words, buffers, mix64, slices, whole_hash
 from tessera.session import ensure_checkpoint_dir
 
@@ -50,6 +50,9 @@ SUBPARTS = 3
 #: Below this threshold a projection holds few elements: bands are then wider (fewer groups), parts are
 #: a few more than needed, and empty projections can be left out.
 SELECTIVE = 0.85
+#: Bits of a signature, which are most of what is shuffled.  Signatures that agree by chance only bring
+#: together sets that sketches then rule out; no link is lost.
+SIGNATURE_BITS = 48
 #: Least cells of a sketch.
 SKETCH_BITS = 1024
 #: Nodes of one signature that a task compares at once; more are compared block against block.
@@ -162,7 +165,7 @@ def bands(p: int, q: int) -> Bands:
 
 
 def signatures(sets: list[np.ndarray], p: int, q: int) -> list[np.ndarray]:
-    """Each set's signatures, as signed 64-bit numbers; none for an empty set."""
+    """Each set's signatures, as numbers of SIGNATURE_BITS bits; none for an empty set."""
     layout = bands(p, q)
     owner, group, parts, need, copies = [], [], [], [], []
     for i, s in enumerate(sets):
@@ -190,7 +193,8 @@ def signatures(sets: list[np.ndarray], p: int, q: int) -> list[np.ndarray]:
     part = (np.arange(base[-1] // SUBPARTS) - np.repeat(base[:-1] // SUBPARTS, n1)).astype(U64)
     salt = mix64(np.repeat(mix64(g + U64(9)), n1) + part)
     left_out = whole[:, None] - sums  # the projection without one sub-part
-    out = mix64(mix64(left_out + U64(3)) ^ (salt[:, None] + np.arange(SUBPARTS, dtype=U64) * U64(0x9E3779B97F4A7C15))).view(np.int64)
+    out = mix64(mix64(left_out + U64(3)) ^ (salt[:, None] + np.arange(SUBPARTS, dtype=U64) * U64(0x9E3779B97F4A7C15)))
+    out = (out >> U64(64 - SIGNATURE_BITS)).view(np.int64)
     # A part is thin if one sub-part holds all its elements.  A good part that is not thin gives an equal
     # projection that is not empty; with more such parts than half of k, empty projections are not needed.
     filled = np.bincount(cell, minlength=base[-1]).reshape(-1, SUBPARTS)
@@ -457,7 +461,7 @@ def components(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int
     probes = named.where("probe is not null").select("node", "probe").dropDuplicates(["node"]).select(F.explode("probe").alias("sig")).groupBy("sig").agg(F.count("*").alias("c"))
     heavy = probes.where(F.col("c") >= PROBES).orderBy(F.desc("c"), "sig").limit(HEAVY).select("sig").collect()
     heavy = np.sort(np.array([r["sig"] for r in heavy], dtype=np.int64))
-    shared = _shared(_signed(source.select("__text"), n, p, q, names, heavy)).checkpoint()
+    shared = packed_checkpoint(_shared(_signed(source.select("__text"), n, p, q, names, heavy)))
     release(docs.sparkSession)
     # one document of each node that shares a signature, its text read again
     wanted = shared.select("node").distinct().checkpoint()

@@ -195,3 +195,15 @@ def test_packed_checkpoint(spark):
     held = frames.packed_checkpoint(rows)
     assert held.schema.simpleString() == rows.schema.simpleString() and held.exceptAll(rows).isEmpty() and held.count() == 50_000
     assert frames.packed_checkpoint(rows.where("id < 0")).count() == 0
+
+
+def test_short_signatures_lose_no_link():
+    """Signatures take 48 bits each, and similar sets still share one."""
+    rng = np.random.default_rng(3)
+    for size in (30, 120, 700):
+        base = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+        few = size // 12  # differences on each side: similarity 0.84 or more
+        sets = [np.unique(np.concatenate([rng.permutation(base)[few:], rng.integers(0, 1 << 63, few).astype(np.uint64)])) for _ in range(12)]
+        found = simjoin.signatures([base, *sets], 80, 100)
+        assert all(len(x) and x.min() >= 0 and x.max() < 1 << 48 for x in found)
+        assert all(len(np.intersect1d(found[0], x)) for x in found[1:])

@@ -29,8 +29,19 @@ def small(df: DataFrame, row_bytes: Column | int = 32) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets the driver find the shuffle and checkpoint files of finished phases, so that they go now and not at some later collection."""
+    """Lets the driver find the shuffle and checkpoint files of finished phases, so that they go now and not at some later collection.
+
+    py4j gives up the Java objects of collected Python ones about a second later; those that wait are given up here, or
+    the collection would still find them in use.
+    """
     gc.collect()
+    waiting = getattr(spark.sparkContext._gateway._gateway_client, "finalizer_deque", None)
+    while waiting:
+        try:
+            client, target = waiting.pop()
+        except IndexError:  # py4j's own thread took the last
+            break
+        client.garbage_collect_object(target, False)
     spark.sparkContext._jvm.System.gc()
 
 

@@ -252,11 +252,38 @@ def _signed(source: DataFrame, n: int, p: int, q: int, names: Names, heavy: np.n
     return arrow_map(source, run, "sig long, part byte, node long")
 
 
+def _first_of_like(new: np.ndarray, part: np.ndarray, node: np.ndarray, seen: set[tuple[int, int, int]]) -> np.ndarray:
+    """Whether to keep each row: signatures with the nodes of one seen before, by their number and 128 bits, are left out.
+
+    new: where a group of one signature and part begins.  The first and the last group may go on in other batches, and a
+    heavy signature's parts hold only some of its nodes: those stay.
+    """
+    first = np.flatnonzero(new)
+    keep = np.ones(len(node), dtype=bool)
+    many = np.diff(first)
+    some = np.flatnonzero((many > 1) & (part[first[:-1]] < 0))
+    some = some[some > 0]
+    if not len(some):
+        return keep
+    hashes = [np.add.reduceat(mix64(node.view(U64) ^ mix64(np.array([seed], dtype=U64))), first)[some].tolist() for seed in (1, 2)]
+    if len(seen) > 200_000:
+        seen.clear()
+    for group, key in zip(some.tolist(), zip(many[some].tolist(), *hashes, strict=True), strict=True):
+        if key in seen:
+            keep[first[group] : first[group + 1]] = False
+        seen.add(key)
+    return keep
+
+
 def _shared(signed: DataFrame) -> DataFrame:
-    """sig, node and low, the least node of the signature's part, of each node that shares a signature."""
+    """sig, node and low, the least node of the signature's part, of each node that shares a signature.
+
+    Of signatures that a task finds with the same nodes, the first alone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last row so far: signature, part, node, its group's least node, whether it is given out
+        seen: set[tuple[int, int, int]] = set()
         for batch in batches:
             sig, part, node = (batch.column(c).to_numpy() for c in ("sig", "part", "node"))
             if held is not None:
@@ -276,7 +303,7 @@ def _shared(signed: DataFrame) -> DataFrame:
             good[:-1] |= ~new[1:]
             if held is not None:
                 good[0] = (good[0] or held[3] != held[2]) and not held[4]
-            out = np.flatnonzero(good)
+            out = np.flatnonzero(good & _first_of_like(new, part, node, seen))
             held = (sig[-1], part[-1], node[-1], low[-1], bool(good[-1]) or (len(sig) == 1 and held is not None and held[4]))
             if len(out):
                 yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (sig, node, low)], ["sig", "node", "low"])

@@ -2,6 +2,7 @@
 
 import collections
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -207,3 +208,32 @@ def test_short_signatures_lose_no_link():
         found = simjoin.signatures([base, *sets], 80, 100)
         assert all(len(x) and x.min() >= 0 and x.max() < 1 << 48 for x in found)
         assert all(len(np.intersect1d(found[0], x)) for x in found[1:])
+
+
+def test_release_gives_up_waiting_java_objects():
+    given, waited = [], []
+    client = SimpleNamespace(garbage_collect_object=lambda target, enqueue: given.append((target, enqueue)))
+    client.finalizer_deque = collections.deque([(client, "o1"), (client, "o2")])
+    system = SimpleNamespace(gc=lambda: waited.append(len(client.finalizer_deque)))
+    context = SimpleNamespace(_gateway=SimpleNamespace(_gateway_client=client), _jvm=SimpleNamespace(System=system))
+    frames.release(SimpleNamespace(sparkContext=context))
+    assert waited == [0] and sorted(given) == [("o1", False), ("o2", False)]
+
+
+def test_signatures_with_the_same_nodes_are_held_once(spark):
+    sets = {(1, 2): 40, (1, 2, 3): 30, (2, 3): 1, (4,): 20}  # nodes: how many signatures have them
+    rows = []
+    for nodes, n in sets.items():
+        rows += [(len(rows) * 7 + i, -1, node) for i in range(n) for node in nodes]
+    for part in (0, 1):  # a heavy signature's parts hold only some of its nodes
+        rows += [(900_000, part, node) for node in (1, 2)]
+    got = simjoin._shared(spark.createDataFrame(rows, "sig long, part byte, node long").coalesce(1)).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault(r["sig"], []).append(r["node"])
+    by_sig = {}
+    for sig, _, node in rows:
+        by_sig.setdefault(sig, []).append(node)
+    want = {tuple(sorted(v)) for v in by_sig.values() if len(v) > 1}
+    assert {tuple(sorted(v)) for v in groups.values()} == want  # none is lost
+    assert len(got) < 100 < sum(len(v) for v in by_sig.values() if len(v) > 1)

@@ -106,13 +106,11 @@ class Prefix:
         # codes of one size follow one another, the first bit read being the highest
         self.table = np.repeat((symbols << 4 | sizes).astype(np.uint16), share)[mirrored(self.width)]
         self.mask, self.only = (1 << self.width) - 1, int(symbols[0])
-        self.flat: list[int] | None = None
         self.hop: tuple[np.ndarray, ...] | None = None
 
-    def listed(self) -> list[int]:
-        if self.flat is None:
-            self.flat = self.table.tolist()
-        return self.flat
+    def listed(self) -> memoryview:
+        """The table, giving Python's own numbers; a list would be copied for each of the many codes that few pixels use."""
+        return memoryview(self.table)
 
     def hops(self) -> tuple[np.ndarray, ...]:
         """Over the next HOP_BITS bits: bits | count << 4 of the literals (up to three) that lie in them whole, and those literals.
@@ -150,14 +148,24 @@ def prefix(lengths: bytes) -> Prefix:
     return Prefix(lengths)
 
 
+@lru_cache(maxsize=2048)
+def simple(one: int, other: int) -> Prefix:
+    """The code of one symbol or of two."""
+    lengths = bytearray(max(one, other) + 1)
+    lengths[one] = lengths[other] = 1
+    return prefix(bytes(lengths))
+
+
 def read_prefix(bits: Bits, size: int) -> Prefix:
-    if bits.read(1):
-        two, wide = bits.read(1), bits.read(1)
-        lengths = bytearray(256)
-        lengths[bits.read(8 if wide else 1)] = 1
-        if two:
-            lengths[bits.read(8)] = 1
-        return prefix(bytes(lengths).rstrip(b"\0"))
+    word = bits.peek()
+    if word & 1:
+        at, mask = (11, 255) if word & 4 else (4, 1)
+        if word & 2:
+            bits.skip(at + 8)
+            return simple(word >> 3 & mask, word >> at & 255)
+        bits.skip(at)
+        return simple(word >> 3 & mask, word >> 3 & mask)
+    bits.skip(1)
     first = bytearray(19)
     given = 4 + bits.read(4)
     word = bits.read(3 * given)
@@ -275,7 +283,7 @@ def _walk(bits: Bits, width: int, group: list[Prefix], total: int) -> np.ndarray
     return _walk_green(bits, width, green, group[4], total).astype(np.uint32) << np.uint32(8) | rest
 
 
-def _reference(data: bytes, after: int, code: int, apart: list[int], mask: int, width: int) -> tuple[int, int, int]:
+def _reference(data: bytes, after: int, code: int, apart: memoryview, mask: int, width: int) -> tuple[int, int, int]:
     """Length and distance in pixels of a back-reference, and the bits they take behind the length's code: at most 43."""
     word = int.from_bytes(data[after >> 3 : (after >> 3) + 8], "little") >> (after & 7)
     if code < 4:
@@ -607,7 +615,8 @@ def decode_vp8l(data: bytes) -> np.ndarray:
     pixels = read_image(bits, across, height, True)
     for f, args in reversed(undo):
         pixels = f(pixels, *args)
-    return pixels.astype("<u4", copy=False).view(np.uint8).reshape(height, width, 4)[:, :, [2, 1, 0, 3]]
+    pixels = pixels & np.uint32(0xFF00FF00) | pixels >> np.uint32(16) & np.uint32(255) | (pixels & np.uint32(255)) << np.uint32(16)
+    return pixels.astype("<u4", copy=False).view(np.uint8).reshape(height, width, 4)
 
 
 def chunks(data: bytes) -> Iterator[tuple[bytes, bytes]]:
@@ -643,15 +652,20 @@ class BitWriter:
 def code_lengths(counts: Sequence[int], most: int) -> list[int]:
     """Lengths of a complete prefix code, at most `most`, near the counts' information; 0 for symbols of no count."""
     out = [0] * len(counts)
-    used = sorted(((-c, s) for s, c in enumerate(counts) if c))
+    used = sorted([(-c, s) for s, c in enumerate(counts) if c])
+    for (_, s), n in zip(used, _ranked_lengths([c for c, _ in used], most), strict=True):
+        out[s] = n
+    return out
+
+
+def _ranked_lengths(used: list[int], most: int) -> list[int]:
+    """Lengths of a complete prefix code of symbols with these counts, negative, the largest count first."""
     if len(used) < 2:
-        for _, s in used:
-            out[s] = 1
-        return out
-    total = -sum(c for c, _ in used)
+        return [1] * len(used)
+    total = -sum(used)
     # the least n of at least 1 with count * 2**n >= total
-    length = [min(most, max(1, (-(total // c) - 1).bit_length() if total % c == 0 else (total // -c).bit_length())) for c, _ in used]
-    room = (1 << most) - sum(1 << (most - n) for n in length)
+    length = [n if (n := (-(total // c) - 1).bit_length() if total % c == 0 else (total // -c).bit_length()) < most else most for c in used]
+    room = (1 << most) - sum([1 << (most - n) for n in length])
     at = len(length) - 1
     while room < 0:  # the limit has made codes too short: lengthen the rarest that can be
         while length[at] >= most:
@@ -666,9 +680,7 @@ def code_lengths(counts: Sequence[int], most: int) -> list[int]:
                 room -= gain
                 if not room:
                     break
-    for (_, s), n in zip(used, length, strict=True):
-        out[s] = n
-    return out
+    return length
 
 
 @lru_cache(maxsize=16)
@@ -700,21 +712,19 @@ def _put_code(out: BitWriter, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
         for s in few:
             out.put(s, 8)
         return codes, sizes
-    lengths = code_lengths(counts[: used[-1] + 1].tolist(), MOST_BITS)
-    tokens, kinds, rest = [], [0] * 19, 0
-    for n in lengths:
-        if not n:
-            rest += 1
-            continue
+    ranked = sorted(zip((-counts[used]).tolist(), used.tolist(), strict=True))
+    lengths = sorted(zip([s for _, s in ranked], _ranked_lengths([c for c, _ in ranked], MOST_BITS), strict=True))
+    tokens, kinds, before = [], [0] * 19, -1
+    for s, n in lengths:
+        rest, before = s - before - 1, s
         while rest >= 3:
             run = min(rest, 138)
             tokens.append((18, run - 11, 7) if run >= 11 else (17, run - 3, 3))
             kinds[tokens[-1][0]] += 1
             rest -= run
-        for _ in range(rest):
-            tokens.append((0, 0, 0))
-            kinds[0] += 1
-        rest = 0
+        if rest:
+            tokens += [(0, 0, 0)] * rest
+            kinds[0] += rest
         tokens.append((n, 0, 0))
         kinds[n] += 1
     outer = code_lengths(kinds, 7)
@@ -736,15 +746,28 @@ def _put_code(out: BitWriter, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
         at += size[n] + bits
     out.put(value, at)
     codes, sizes = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
-    codes[: len(lengths)] = codes_of(lengths)
+    size = [n for _, n in lengths]
+    codes[used] = codes_of(size)
     if len(used) > 1:
-        sizes[: len(lengths)] = lengths
+        sizes[used] = size
     return codes, sizes
 
 
 def _prefixed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Prefix symbol, extra bits and their number of lengths or distances."""
-    x = values - 1
+    tables = _prefix_tables()
+    if len(values) and int(values.max()) >= len(tables[0]):
+        return _prefixes(values)
+    return tuple(t[values] for t in tables)
+
+
+@lru_cache(maxsize=1)
+def _prefix_tables() -> tuple[np.ndarray, ...]:
+    return _prefixes(np.arange(1 << 16))
+
+
+def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    x = np.maximum(values - 1, 0)
     high = np.frexp(np.maximum(x, 1).astype(np.float64))[1] - 1
     extra = np.where(x < 4, 0, high - 1)
     return np.where(x < 4, x, 2 * high + (x >> np.maximum(high - 1, 0) & 1)), x & ((np.int64(1) << extra) - 1), extra
@@ -768,7 +791,10 @@ def copies(pixels: np.ndarray) -> np.ndarray:
         return np.zeros((0, 3), np.int64)
     far = np.zeros(len(x), dtype=np.int64)
     far[order[twin + 1]] = order[twin + 1] - order[twin]
-    edge = np.flatnonzero(np.diff(far, prepend=0, append=0))  # runs of one distance
+    change = np.empty(len(far) + 1, dtype=bool)  # runs of one distance
+    change[0], change[-1] = far[0] != 0, far[-1] != 0
+    np.not_equal(far[1:], far[:-1], out=change[1:-1])
+    edge = np.flatnonzero(change)
     runs = np.flatnonzero(far[edge[:-1]])
     out, done = [], 0
     for a, z, d in zip(edge[runs].tolist(), edge[runs + 1].tolist(), far[edge[runs]].tolist(), strict=True):
@@ -845,9 +871,12 @@ def _put_constant(out: BitWriter, pixel: int) -> None:
 
 
 def _entropy(values: np.ndarray) -> float:
-    c = np.bincount(values.reshape(-1), minlength=256)
-    c = c[c > 0]
-    return float(np.log2(c.sum()) - (c * np.log2(c)).sum() / c.sum())
+    return _information(np.bincount(values.reshape(-1), minlength=256), values.size)
+
+
+def _information(counts: np.ndarray, total: int) -> float:
+    c = counts[counts > 0].astype(np.float64)
+    return float(np.log2(total) - np.dot(c, np.log2(c)) / total)
 
 
 def encode_vp8l(grey: np.ndarray) -> bytes:
@@ -864,7 +893,8 @@ def encode_vp8l(grey: np.ndarray) -> bytes:
     top[0, 1:] -= grey[0, :-1]
     guesses = {1: _entropy(left), 2: _entropy(top)}
     mode = min(guesses, key=guesses.get)
-    if guesses[mode] < 0.9 * _entropy(grey):
+    counts = np.bincount(grey.reshape(-1), minlength=256)
+    if guesses[mode] < 0.9 * _information(counts, grey.size):
         # the residuals' alpha is 0, and a cross-colour factor of one (32) takes green from red and blue
         for kind, pixel in ((0, mode << 8), (1, 32 << 8 | 32)):
             out.put(1 | kind << 1 | 7 << 3, 6)  # tiles of 512 pixels
@@ -872,7 +902,7 @@ def encode_vp8l(grey: np.ndarray) -> bytes:
         out.put(0, 1)
         words = _put_pixels(out, (left if mode == 1 else top).reshape(-1), (0, 0, 0), True)
     else:
-        present = np.bincount(grey.reshape(-1), minlength=256) > 0
+        present = counts > 0
         colours = np.flatnonzero(present)
         n = len(colours)
         out.put(1 | 2 << 1, 3)  # green is taken from red and blue, so that the palette has it alone

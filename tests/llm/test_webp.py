@@ -287,3 +287,17 @@ def test_few_codes_and_a_stream_with_bytes_behind_it(monkeypatch):
             assert (webp.decode_vp8l(body + behind) == grey).all()
         with pytest.raises(ValueError):
             webp.decode_vp8l(body[: len(body) // 2])
+
+
+def test_codes_are_not_copied_to_be_read():
+    """Most codes serve few pixels: a list of all their table's entries costs more than those pixels."""
+    code = webp.prefix(bytes([2, 2, 2, 3, 3]))
+    assert np.shares_memory(np.asarray(code.listed()), code.table) and [*code.listed()] == code.table.tolist()
+
+
+def test_lengths_and_distances_beyond_their_tables():
+    values = np.array([1, 4, 5, 120, 4096, 65534, 65535, 65536, 65537, 1 << 20])
+    symbol, extra, bits = webp._prefixed(values)
+    for v, s, e, n in zip(values.tolist(), symbol.tolist(), extra.tolist(), bits.tolist(), strict=True):
+        assert webp._spelt(s, e) == (v, n)
+        assert [int(x[0]) for x in webp._prefixed(np.array([v]))] == [s, e, n]

@@ -42,6 +42,7 @@ def release(spark: SparkSession) -> None:
         except IndexError:  # py4j's own thread took the last
             break
         client.garbage_collect_object(target, False)
+    time.sleep(0.05)  # what py4j's own thread has just taken
     spark.sparkContext._jvm.System.gc()
 
 

@@ -15,7 +15,8 @@ Within the nodes that share a signature no list of all pairs is made: each node
 checked against its nearest leader, then components are compared through parity
 sketches, whose Hamming distance never exceeds the sets' difference, so a pair
 that the sketches rule out cannot link.  Only signatures that still hold several
-components are looked at, those with the same nodes once.  What the sketches leave
+components are looked at, those with the same nodes once; where sketches folded to
+a quarter rule out all their pairs, that settles them.  What the sketches leave
 between different components is verified on the sets themselves until no such pair
 is untested.  No link between components is lost; links inside a component are not
 listed.
@@ -108,6 +109,11 @@ def sketch(s: np.ndarray) -> bytes:
     return np.packbits((np.bincount(cells, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
+def coarse(full: bytes) -> bytes:
+    """A sketch folded to a quarter: distances only become less."""
+    return np.bitwise_xor.reduce(np.frombuffer(full, dtype=U64).reshape(4, -1), axis=0).tobytes()
+
+
 def folded(sketches: list[bytes]) -> np.ndarray:
     """Sketches as rows of words, the longer ones folded (halves xor-ed) to the shortest one's length."""
     low = min(map(len, sketches))
@@ -312,16 +318,16 @@ def _shared(signed: DataFrame) -> DataFrame:
 
 
 def _held(source: DataFrame, n: int, names: Names) -> DataFrame:
-    """node, size, its set and sketch."""
+    """node, size, its set, sketch and the sketch folded to a quarter (coarse)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "__text"):
                 sets = [s for s in shingle_sets(batch, n) if len(s)]
-                arrays = [pa.array([names(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, ["node", "size", "elements", "sketch"])
+                arrays = [pa.array([names(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(full := [sketch(s) for s in sets], pa.binary()), pa.array([coarse(x) for x in full], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["node", "size", "elements", "sketch", "coarse"])
 
-    return arrow_map(source, run, "node long, size long, elements binary, sketch binary")
+    return arrow_map(source, run, "node long, size long, elements binary, sketch binary, coarse binary")
 
 
 def _distance(pairs: DataFrame) -> DataFrame:
@@ -404,11 +410,11 @@ def _unsettled(shared: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(mixed.groupBy("m", "x1", "x2").agg(F.min("sig").alias("sig")).select("sig", "m"), "sig").checkpoint()
 
 
-def _across(members: DataFrame, p: int, q: int, best: bool) -> DataFrame:
+def _across(members: DataFrame, p: int, q: int, best: bool | None) -> DataFrame:
     """Pairs of different components under one signature that the sketches do not rule out.
 
     members: sig, node, comp, m, size, sketch.  With `best`, a task gives the nearest
-    pair of each two components only.
+    pair of each two components only; if that is None, the signatures (sig) with such pairs.
     """
     blocks = F.ceil(F.col("m") / BLOCK)
     dealt = members.withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")))
@@ -432,6 +438,8 @@ def _across(members: DataFrame, p: int, q: int, best: bool) -> DataFrame:
             if i == j:
                 good &= node[a][:, None] < node[right][None, :]
             x, y = np.nonzero(good)
+            if len(x) and best is None:
+                return pa.RecordBatch.from_arrays([t.column("sig").combine_chunks()[:1]], ["sig"])
             if len(x):
                 found.append((a[x], right[y], apart[x, y]))
         if not found:
@@ -467,6 +475,8 @@ def _across(members: DataFrame, p: int, q: int, best: bool) -> DataFrame:
         if kept and (out := compare(kept)) is not None:
             yield out
 
+    if best is None:
+        return arrow_map(dealt, run, "sig long").distinct()
     pairs = arrow_map(dealt, run, "a long, b long, ca long, cb long, apart long")
     if best:
         return pairs.groupBy("ca", "cb").agg(F.min(F.struct("apart", "a", "b")).alias("s")).select("s.a", "s.b")
@@ -498,22 +508,29 @@ def components(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int
     held = _held(texts, n, names).join(wanted, "node", "left_semi").dropDuplicates(["node"]).checkpoint()
     release(docs.sparkSession)
     light = held.select("node", "size", "sketch")
+    rough = held.select("node", "size", F.col("coarse").alias("sketch"))
 
-    # first links: each node with the nearest of its leaders
+    # first links: each node with the nearest of its leaders, as coarse sketches show it; what they miss is found below
     leaders = shared.where("node <> low").select("node", F.col("low").alias("leader")).distinct()
     if len(heavy):  # parts of one signature: their leaders with the least of them
         parts = shared.join(F.broadcast(docs.sparkSession.createDataFrame([(int(x),) for x in heavy], "sig long")), "sig").select("sig", "low").distinct()
         least = parts.groupBy("sig").agg(F.min("low").alias("leader"))
         leaders = leaders.unionAll(parts.join(least, "sig").where("low <> leader").select(F.col("low").alias("node"), "leader")).distinct()
-    near = leaders.join(light.select("node", F.col("size").alias("na"), F.col("sketch").alias("sketch_a")), "node")
-    near = _distance(near.join(light.select(F.col("node").alias("leader"), F.col("size").alias("nb"), F.col("sketch").alias("sketch_b")), "leader"))
+    near = leaders.join(rough.select("node", F.col("size").alias("na"), F.col("sketch").alias("sketch_a")), "node")
+    near = _distance(near.join(rough.select(F.col("node").alias("leader"), F.col("size").alias("nb"), F.col("sketch").alias("sketch_b")), "leader"))
     near = near.where((q + p) * F.col("apart") <= (q - p) * (F.col("na") + F.col("nb")))
     near = near.groupBy("node").agg(F.min(F.struct("apart", "leader")).alias("s")).select(F.least("node", "s.leader").alias("a"), F.greatest("node", "s.leader").alias("b")).distinct()
     tested = near.checkpoint()
     release(docs.sparkSession)
     labels = connect(_verified(tested, held, p, q), wanted.withColumn("comp", F.col("node")))
 
-    # then between components, the nearest pairs first, until none is untested
+    # then between components: components only grow, so a signature without a possible pair now has none later
+    mixed = _unsettled(shared, labels)
+    possible = small(_across(mixed.join(rough, "node"), p, q, None), 8)
+    shared = mixed.join(possible, "sig", "left_semi").select("sig", "node").checkpoint()
+    del mixed, possible
+    release(docs.sparkSession)
+    # the nearest pairs first, until none is untested
     for best in (True, False):
         members = _unsettled(shared, labels).join(light, "node")
         pairs = _across(members, p, q, best).join(tested, ["a", "b"], "left_anti").checkpoint()

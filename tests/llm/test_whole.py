@@ -237,3 +237,15 @@ def test_signatures_with_the_same_nodes_are_held_once(spark):
     want = {tuple(sorted(v)) for v in by_sig.values() if len(v) > 1}
     assert {tuple(sorted(v)) for v in groups.values()} == want  # none is lost
     assert len(got) < 100 < sum(len(v) for v in by_sig.values() if len(v) > 1)
+
+
+def test_signatures_without_a_possible_pair_are_settled(spark):
+    rng = np.random.default_rng(5)
+    sets = {1: np.unique(rng.integers(0, 1 << 63, 300).astype(np.uint64)), 3: np.unique(rng.integers(0, 1 << 63, 300).astype(np.uint64))}
+    sets[2] = np.unique(np.concatenate([sets[1][10:], rng.integers(0, 1 << 63, 10).astype(np.uint64)]))
+    rows = [(sig, node, node, 2, len(sets[node]), bytearray(simjoin.coarse(simjoin.sketch(sets[node])))) for sig, nodes in ((7, (1, 2)), (8, (1, 3)), (9, (2, 3))) for node in nodes]
+    members = spark.createDataFrame(rows, "sig long, node long, comp long, m long, size long, sketch binary")
+    assert [tuple(r) for r in simjoin._across(members, 80, 100, None).collect()] == [(7,)]
+    for a, b in ((1, 2), (1, 3)):
+        full, less = (simjoin.folded([f(sets[a]), f(sets[b])]) for f in (simjoin.sketch, lambda s: simjoin.coarse(simjoin.sketch(s))))
+        assert np.bitwise_count(less[0] ^ less[1]).sum() <= np.bitwise_count(full[0] ^ full[1]).sum()
